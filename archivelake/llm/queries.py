@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP6_SQL, op6_decontamination
 from .mixing import op2_source_mixing
 from .simhash import op3_simhash_near_dedup
 from .token_output import op1_token_output
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_simhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_simhash_near_dedup, op6_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
