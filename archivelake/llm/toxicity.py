@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning, in numpy.
 
-Features of a text are its distinct words of letters in lower case and their prefixes of 3 to 7 letters, hashed. The
-classifier is logistic. Its positives are confirmed toxic texts; the rest of the training texts are unlabelled, whatever
+Features of a text are its words of letters in lower case and their prefixes of 3 to 7 letters, hashed, at levels of how
+often they stand in it. The classifier is logistic. Its positives are confirmed toxic texts; the rest of the training texts are unlabelled, whatever
 their label. The risk is corrected by the class prior p (the share of toxic rows among the labelled training rows):
 
     p * E_pos[loss(+)] + max(0, E_unl[loss(-)] - p * E_pos[loss(-)])
@@ -16,6 +16,7 @@ every row and every word.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,25 +42,42 @@ def word_features(word: str) -> list[int]:
     return [xxh32_intdigest(m.encode("utf-8", "surrogatepass")) % DIMENSIONS for m in marks]
 
 
+#: A mark's levels: present; 2 and 4 times or more; at least once in 256 and in 64 words. Each turns the hash another way.
+TURNS = tuple(0x9E379 * k & (DIMENSIONS - 1) for k in range(5))
+
+
 class Features:
-    """The distinct features of texts; of chosen ones only if they are given."""
+    """The distinct features of texts: words and prefixes, each at the levels that it reaches; of chosen ones only if they
+    are given."""
 
     def __init__(self, chosen: np.ndarray | None = None):
-        self.chosen, self.memo = chosen, {}
+        self.memo: dict[str, tuple] = {}
+        self.marks = None if chosen is None else np.logical_or.reduce([chosen[np.arange(DIMENSIONS) ^ t] for t in TURNS])
 
     def of_word(self, word: str) -> tuple:
         if (got := self.memo.get(word)) is None:
-            got = tuple(f for f in word_features(word) if self.chosen is None or self.chosen[f])
+            got = tuple(f for f in word_features(word) if self.marks is None or self.marks[f])
             if len(self.memo) >= WORDS:
                 self.memo.clear()
             self.memo[word] = got
         return got
 
     def of(self, text: str | None) -> set[int]:
-        found: set[int] = set()
-        for word in set(_WORD.findall((text or "").lower())):
-            if got := self.of_word(word):
-                found.update(got)
+        words = _WORD.findall((text or "").lower())
+        times: dict[int, int] = {}
+        for word, n in Counter(words).items():
+            for f in self.of_word(word):
+                times[f] = times.get(f, 0) + n
+        found, size = set(times), len(words)
+        for f, n in times.items():
+            if n >= 2:
+                found.add(f ^ TURNS[1])
+                if n >= 4:
+                    found.add(f ^ TURNS[2])
+            if 256 * n >= size:
+                found.add(f ^ TURNS[3])
+                if 64 * n >= size:
+                    found.add(f ^ TURNS[4])
         return found
 
 
