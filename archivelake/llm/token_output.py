@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +27,88 @@ from pyspark.sql import functions as F
 from . import common
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 128 << 10, 500
-#: Words of up to so many characters are remembered with their ids, up to so many of them in a worker.
-WORD, WORDS = 48, 400_000
-#: Ids in a batch that goes back to Spark.
-BATCH_IDS = 4_000_000
+#: Words of up to so many characters are remembered with their ids, up to so many of them in each of two generations.
+WORD, WORDS = 48, 500_000
+#: Documents in a batch that goes back to Spark.
+ROWS = 256
+
+#: The characters by which a byte-level BPE writes bytes: printable ones stand for themselves, the others follow from 256 on.
+BYTES = {}
+for _byte in range(256):
+    if not (33 <= _byte <= 126 or 161 <= _byte <= 172 or _byte >= 174):
+        BYTES[_byte] = 256 + len(BYTES)
 
 _encoders: dict = {}
 
 
+class Uncut(Exception):
+    """A piece can't be cut off from its neighbours."""
+
+
+class Words(dict):
+    """Ids by word, as little-endian 32-bit integers; lead is what stands before each word.
+
+    When this younger generation is full, it becomes the older and what the older held is forgotten, so frequent words stay
+    and memory is bounded.
+    """
+
+    def __init__(self, tokenizer, lead: str, first: Words | None = None):
+        self.tokenizer, self.model, self.lead, self.first, self.old = tokenizer, tokenizer.model, lead, self if first is None else first, {}
+        self.line_end = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():  # one piece of the pattern: it needs only the library's model and its byte alphabet
+                raw = (self.lead + word).encode().decode("latin-1").translate(BYTES)
+                ids = array("i", [x.id for x in self.model.tokenize(raw)]).tobytes()
+            elif not word or word[0].isspace() or word[-1].isspace():
+                raise Uncut
+            elif "\n" in word:
+                head, *rest = word.split("\n")
+                return self.line_end.join([self[head], *map(self.first.__getitem__, rest)])
+            else:
+                bare = word.rstrip(punctuation)
+                ids = self[bare] + self.first[word[len(bare) :]] if bare != word and bare.isalpha() else self.whole(self.lead + word)
+        if len(word) <= WORD:
+            if len(self) >= WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """The ids of whole texts, as the tokenizer gives them.
 
-    A byte-level BPE never joins across a single space between two non-blank characters: its pattern starts a new piece
-    at that space. So a text is cut there and each distinct word (with its space) goes through the tokenizer once. A
-    text with any other white space next to a space goes through whole.
+    A byte-level BPE never joins across a single white-space character between two others that are not: its pattern starts
+    a new piece at a space, and before and after a line end. Nor does it join a letter to the punctuation that ends a word.
+    So a text is cut there, and each distinct word (with its space) goes through the tokenizer once. A text with any other
+    white space next to a space or a line end goes through whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, tuple] = {}
-        self.later: dict[str, tuple] = {}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(self, text: str, out: array) -> None:
-        words, size = text.split(" "), len(out)
-        known, lead = self.first, ""
-        for i, word in enumerate(words):
-            ids = known.get(word)
-            if ids is None:
-                if not word or word[0].isspace() or word[-1].isspace():
-                    del out[size:]
-                    if text:
-                        out.extend(self.whole(text))
-                    return
-                ids = tuple(self.whole(lead + word))
-                if len(word) <= WORD:
-                    if len(known) >= WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.extend(ids)
-            if not i:
-                known, lead = self.later, " "
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.first = Words(tokenizer, "")
+        self.later = Words(tokenizer, " ", self.first)
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        head, _, rest = text.partition(" ")
+        try:
+            ids = [self.first[head]]
+            if _:
+                ids.extend(map(self.later.__getitem__, rest.split(" ")))
+        except Uncut:
+            return self.first.whole(text)
+        return b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
@@ -89,20 +126,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            begin, ids, ends = 0, array("i"), [0]
-            for i in range(len(batch)):
-                known.encode(texts[i].as_py() or "", ids)
-                ids.append(end_id)
-                ends.append(len(ids))
-                if len(ids) >= BATCH_IDS or i + 1 == len(batch):
-                    counts = np.diff(ends)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.slice(begin, i + 1 - begin), pa.array(np.full(len(counts), part, np.int32)), pa.array(start + np.array(ends[:-1], np.int64)), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))],
-                        ["doc_id", "part", "local_start", "n_tokens", "ids"],
-                    )
-                    start, begin, ids, ends = start + len(ids), i + 1, array("i"), [0]
+            for at in range(0, len(batch), ROWS):
+                keys = batch.column(0).slice(at, ROWS)
+                ids = [known.encode(x or "") + end for x in batch.column(1).slice(at, ROWS).to_pylist()]
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                yield pa.RecordBatch.from_arrays(
+                    [keys, pa.array(np.full(len(ids), part, np.int32)), pa.array(start + ends[:-1]), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))],
+                    ["doc_id", "part", "local_start", "n_tokens", "ids"],
+                )
+                start += int(ends[-1])
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     (
@@ -111,6 +146,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         .sortWithinPartitions(*order)
         .mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", ROW_GROUP)
         .option("parquet.page.size", PAGE)
