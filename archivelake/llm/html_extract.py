@@ -34,7 +34,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Never text.
 SILENT = frozenset("audio button canvas datalist embed form head iframe input math meter noembed noframes noscript object progress script select style svg template textarea title video".split())
-#: The site's frame, unless within a main part (where a header or footer is the article's own).
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The site's frame; within a main part, a header that holds a heading is the article's own.
 FRAME = frozenset("aside dialog footer header menu nav search".split())
 #: What a class, id or role says of a box that is not content.
 NOISE = re.compile(
@@ -187,13 +188,13 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     whole = tops == [root]
 
     def dropped(node: Node) -> bool:
-        if node.noise or node.tag in FRAME and (whole or node.tag not in ("header", "footer")):
+        if node.noise or node.tag in FRAME and (whole or node.tag != "header" or not any(x.tag in HEADINGS for x in walk(node))):
             return True
         if not low or hashed(node.key) not in low:
             return False
         if node.tag not in BLOCK or node.tag in ("html", "body", "article", "main"):
             return False
-        return whole or not any(x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") for x in walk(node))
+        return whole or not any(x.tag == "p" or x.tag in HEADINGS for x in walk(node))
 
     return "\n".join(blocks(tops, dropped))
 
