@@ -141,24 +141,28 @@ def _merged(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, kept_text.
 
     spans are byte ranges [begin, end) of the UTF-8 text, from the first to the last word of each run of hit words;
     kept_text is the text without them (null where there are none: the text itself). A null text has no words. An item
     without words has no window; a null item id counts as the id ''; items that share an id count once. With an empty
-    benchmark nothing is hit. Repeated rows each count; other columns of either table are left out.
+    benchmark nothing is hit. Repeated rows each count; other columns of either table are left out, but for those of docs in
+    keep, which come last, under their names with an underscore before them.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("key"), F.col("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_bytes))
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *[F.col(c).alias(f"_{c}") for c in keep])
+    kept_names = [f"_{c}" for c in keep]
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in out.schema.fields[4:])
     for k in range(slices):
         part = items.filter(F.pmod(F.xxhash64("key", "text"), F.lit(slices)) == k) if slices > 1 else items
         held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
         final = k + 1 == slices
         schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<begin:long,end:long>>, kept_text string" if final else "doc_id long, text string, hits array<int>, items array<string>"
+        schema += more
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, final=final) -> Iterator[pa.RecordBatch]:
             phrases = held.value
@@ -168,7 +172,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                 ranges = [_merged(r.tolist() + [list(x) for x in zip(b[::2], b[1::2])]) if b else r.tolist() for r, b in zip(ranges, before)]
                 found = [sorted(f | set(e or ())) for f, e in zip(found, earlier)]
                 if not final:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([[x for r in rs for x in r] for rs in ranges], pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "text", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([[x for r in rs for x in r] for rs in ranges], pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), *map(batch.column, kept_names)], ["doc_id", "text", "hits", "items", *kept_names])
                     continue
                 spans, kept = [], []
                 for i, rs in enumerate(ranges):
@@ -195,14 +199,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                         pa.array(found, pa.list_(pa.string())),
                         pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                         pa.array(kept, pa.string()),
+                        *map(batch.column, kept_names),
                     ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "kept_text"],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "kept_text", *kept_names],
                 )
 
         out = out.mapInArrow(scan, schema)
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+    found = decontaminate(docs, benchmark, keep=tuple(docs.columns)).filter(~F.col("contaminated"))
+    return found.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

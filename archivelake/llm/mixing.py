@@ -79,23 +79,23 @@ def sainte_lague(votes: DataFrame, group: list[str], keys: list[str], vote: str,
     return joined.select(*[F.col(f"a.{c}") for c in votes.columns], (F.col("_near") + F.coalesce("_change", F.lit(0))).cast("long").alias("quota"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 42, weights: tuple = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, block: int = BLOCK, shard: int = SHARD, seed: int = 42, weights: tuple = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target (its source's), taken, and source, draws = taken / size.
 
     Size is the number of words (null: 0). A null source is a source of its own, the last; a null id is an id of its own.
     Repeated rows each count. An empty table gives no rows; texts without words take none. Reruns agree: all choices hang
-    on doc_id and seed. Other columns of docs are left out, whatever their names.
+    on doc_id and seed. Other columns of docs are left out, whatever their names, but for those in keep, which come last.
     """
     words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0))
     words = F.when(F.col("text").isNull(), 0).otherwise(words).cast("long")
-    rows = common.stored(docs.select(F.col("doc_id"), F.col("source"), words.alias("size")), "mix-sizes")
+    rows = common.stored(docs.select(F.col("doc_id"), F.col("source"), words.alias("size"), *[F.col(c).alias(f"_{c}") for c in keep]), "mix-sizes")
 
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, epochs, weights)
     sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
     sources = common.stored(sources, "mix-sources")
 
     placed = rows.alias("r").join(common.joinable(sources).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    placed = placed.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", F.pmod(spread(seed, F.col("doc_id")), F.col("shards")).alias("shard"))
+    placed = placed.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", F.pmod(spread(seed, F.col("doc_id")), F.col("shards")).alias("shard"), *[f"_{c}" for c in keep])
 
     lines = placed.groupBy("source", "shard").agg(F.sum("size").alias("held"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     lines = lines.withColumn("blocks", F.when(F.col("held") > 0, F.greatest(F.lit(1), F.round(F.col("held") / block))).otherwise(0).cast("long"))
@@ -126,7 +126,22 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, block: int = BLOCK
     # one block more on either side: the division that finds first and last rounds
     reach = F.sequence(F.greatest(F.lit(0), first - 1), F.least(n - 1, last + 1))
     taken = F.when((F.col("size") > 0) & (n > 0), F.aggregate(reach, F.lit(0).cast("long"), lambda t, b: t + (part(b) * draws(b)).cast("long"))).otherwise(0)
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", F.when(F.col("size") > 0, taken / F.col("size")).otherwise(0.0).alias("draws"))
+    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", F.when(F.col("size") > 0, taken / F.col("size")).otherwise(0.0).alias("draws"), *[F.col(f"_{c}").alias(c) for c in keep])
+
+
+def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of docs as often as the mix draws them: the whole part of draws, and once more with a seeded chance of the rest.
+    A row is found again by doc_id and a hash of its text; rows that repeat both share the sum of their draws."""
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    drawn = mix(hashed, seed=seed, keep=("_h",))
+    chance = spread(seed + 4, F.col("doc_id"), F.col("_h")) / float(1 << 62)
+    drawn = drawn.groupBy("doc_id", "_h").agg(F.sum("draws").alias("draws"), F.count("*").alias("rows"))
+    drawn = drawn.withColumn("copies", (F.floor("draws") + F.when(chance < F.col("draws") - F.floor("draws"), 1).otherwise(0)).cast("int")).filter("copies > 0")
+    drawn = common.stored(drawn, "mix-draws").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_x"), "copies", "rows")
+    if not drawn.filter("rows > 1").isEmpty():
+        hashed = hashed.dropDuplicates(["doc_id", "_h"])
+    taken = hashed.join(drawn, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_x")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

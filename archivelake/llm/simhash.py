@@ -67,14 +67,15 @@ def fingerprint(text: str | None, shingle: int, words64: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int, words64: int = 1) -> DataFrame:
-    """doc_id and fp, the fingerprint's bytes. A null text has no words; without words all bits are 0."""
+    """doc_id, h (a hash of the text, with doc_id the row's name) and fp, the fingerprint's bytes. A null text has no words;
+    without words all bits are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), shingle, words64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
+            found = [fingerprint(x.as_py(), shingle, words64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text")).mapInArrow(run, "doc_id long, h long, fp binary")
 
 
 def local_components(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -220,7 +221,7 @@ def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> DataFrame:
-    """doc_id, fp, component_id of each row of docs.
+    """doc_id, h, fp, component (a fingerprint that names it) and component_id of each row of docs.
 
     exact: 64-bit fingerprints linked at 2 bits or fewer, all of them; otherwise 256 bits at about 0.8 similarity or more.
     component_id is the smallest doc_id (nulls aside; null if all are) that is reachable. Null and empty texts have no
@@ -233,10 +234,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> D
     links = common.stored((link_exact if exact else link_near)(classes.select("fp")), "near-links")
     member = components(links)
     lowest = member.join(classes, member.node == classes.fp).groupBy("component").agg(F.min("low").alias("component_id"))
-    joined = member.join(lowest, "component").select(F.col("node"), "component_id")
-    of_class = classes.join(joined, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class"), F.coalesce("component_id", "low").alias("component_id"))
+    joined = member.join(lowest, "component").select("node", "component", "component_id")
+    component = F.coalesce("component", "fp").alias("component")
+    of_class = classes.join(joined, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class"), component, F.coalesce("component_id", "low").alias("component_id"))
     of_class = common.stored(of_class, "class-components")
-    return rows.join(of_class, F.col("fp") == F.col("class")).select("doc_id", "fp", "component_id")
+    return rows.join(of_class, F.col("fp") == F.col("class")).select("doc_id", "h", "fp", "component_id", "component")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of docs of each component: that of the lowest doc_id (nulls last), then of the lowest hash of its text. Of rows
+    that repeat id and text, one."""
+    found = common.stored(near_duplicates(docs, shingle), "near-components")
+    name = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
+    first = found.groupBy("component").agg(F.min(name).alias("first"))
+    dropped = found.join(first, "component").filter(name != F.col("first")).select("doc_id", "h")
+    dropped = common.stored(dropped.distinct(), "near-dropped").select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"))
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(common.joinable(dropped), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_x")), "left_anti")
+    if not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_h"])
+    return kept.select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
