@@ -81,18 +81,22 @@ class Features:
         return found
 
 
-def sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """The most rows with the lowest seeded hashes; ties by text, so the choice is the same in every run."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), F.xxhash64("text")).limit(most)
+def sample(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """The ids with the lowest seeded hashes, most rows at the utmost: the same in every run."""
+    return ids.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most).distinct()
 
 
-def features_of(rows: DataFrame) -> list[np.ndarray]:
+def features_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (a bounded sample: id, toxic, any) with the features of their texts as bytes; of rows that share an id, one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(sorted(known.of(x.as_py())), np.int32).tobytes() for x in batch.column(0)], pa.binary())], ["f"])
+            found = [np.array(sorted(known.of(x.as_py())), np.int32).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "f", "toxic", "unlabelled"])
 
-    return [np.frombuffer(r[0], np.int32) for r in rows.select("text").mapInArrow(run, "f binary").collect()]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.mapInArrow(run, "doc_id long, f binary, toxic boolean, unlabelled boolean").groupBy("doc_id").agg(F.min("f").alias("f"), F.first("toxic").alias("toxic"), F.first("unlabelled").alias("unlabelled"))
 
 
 class Classifier:
@@ -167,9 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """From rows outside the held-out fold alone. Null labels are no labels; an id with both labels is toxic."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0]
-    rows = docs.select("doc_id", "text").filter(remainder() != 0)
-    toxic = rows.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    return fit(features_of(sample(toxic, positives, seed)), features_of(sample(rows, unlabelled, seed + 1)), prior or 0.0)
+    toxic = sample(known.filter("toxic = 1"), positives, seed).withColumn("toxic", F.lit(True))
+    others = sample(docs.filter(F.col("doc_id").isNotNull() & (remainder() != 0)), unlabelled, seed + 1).withColumn("unlabelled", F.lit(True))
+    ids = toxic.join(others, "doc_id", "full").fillna(False)
+    rows = features_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids.withColumn("doc_id", F.col("doc_id").cast("long"))).orderBy("doc_id").collect()
+    as_features = lambda kept: [np.frombuffer(r["f"], np.int32) for r in kept]
+    return fit(as_features(r for r in rows if r["toxic"]), as_features(r for r in rows if r["unlabelled"]), prior or 0.0)
 
 
 def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
