@@ -106,8 +106,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             break
         asked = open_.mapInArrow(_probes(radius), "key long, query long, bound long")
         asked = asked.groupBy("key", F.pmod(F.xxhash64("query"), F.lit(-(-n // CHUNK))).alias("part")).agg(F.collect_list(F.struct("query", "bound")).alias("asked"))
-        seen = asked.join(buckets, "key").select("asked", "codes").mapInArrow(_verify(k), "query long, code long, distance long")
-        seen = seen.distinct().join(entries.select("code", F.size("ids").alias("n")), "code")
+        # packed rows are far larger in memory than on disk: never a broadcast by estimated size
+        seen = asked.join(buckets.hint("merge"), "key").select("asked", "codes").mapInArrow(_verify(k), "query long, code long, distance long")
+        seen = seen.distinct().join(entries.select("code", F.size("ids").alias("n")).hint("merge"), "code")
         if best is not None:
             seen = seen.unionByName(best).distinct()
         nearest = Window.partitionBy("query").orderBy("distance")
