@@ -130,7 +130,7 @@ def _compare(radius: int, words64: int, held: int):
 
     def links(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         label = local_components(fps, radius)
-        moved = np.nonzero(label != np.arange(len(fps)))[0]
+        moved = np.nonzero((fps != fps[label]).any(axis=1))[0]  # a fingerprint may stand in a pool under several keys
         if len(moved):
             as_bytes = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([as_bytes(fps[moved]), as_bytes(fps[label[moved]])], ["u", "v"])
