@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-POSITIVES, UNLABELLED = 3000, 9000
+POSITIVES, UNLABELLED = 2000, 5000
 LEAST, DIMENSIONS = 4, 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 #: Words whose features a worker remembers.
@@ -116,8 +116,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     none = Classifier(np.zeros(DIMENSIONS, np.float32), float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return none
-    df = lambda rows: np.bincount(np.concatenate(rows), minlength=DIMENSIONS) if sum(map(len, rows)) else np.zeros(DIMENSIONS, int)
-    p, u = df(positive), df(unlabelled)
+    p, u = (np.zeros(DIMENSIONS, np.int32) for _ in range(2))
+    for held, rows in ((p, positive), (u, unlabelled)):
+        for r in rows:
+            held[r] += 1  # a text has each feature once
     # a feature is kept if its share among positives is above that among all texts by more than chance
     a, b = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
     sure = np.abs(a - b) / np.sqrt(a * (1 - a) / len(positive) + b * (1 - b) / len(unlabelled))
