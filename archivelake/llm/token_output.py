@@ -28,7 +28,7 @@ from . import common
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 128 << 10, 500
 #: Words of up to so many characters are remembered with their ids, up to so many of them in each of two generations.
-WORD, WORDS = 48, 500_000
+WORD, WORDS = 48, 450_000
 #: Documents in a batch that goes back to Spark.
 ROWS = 256
 
@@ -54,7 +54,7 @@ class Words(dict):
 
     def __init__(self, tokenizer, lead: str, first: Words | None = None):
         self.tokenizer, self.model, self.lead, self.first, self.old = tokenizer, tokenizer.model, lead, self if first is None else first, {}
-        self.line_end = self.whole("\n")
+        self.mark, self.line_end = lead.translate(BYTES), self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -63,7 +63,7 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             if word.isalpha():  # one piece of the pattern: it needs only the library's model and its byte alphabet
-                raw = (self.lead + word).encode().decode("latin-1").translate(BYTES)
+                raw = self.mark + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))
                 ids = array("i", [x.id for x in self.model.tokenize(raw)]).tobytes()
             elif not word or word[0].isspace() or word[-1].isspace():
                 raise Uncut
@@ -145,8 +145,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
-        .write.option("compression", "zstd")
-        .option("parquet.compression.codec.zstd.level", 1)
+        .write.option("compression", "snappy")
         .option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.block.size", ROW_GROUP)
         .option("parquet.page.size", PAGE)
