@@ -310,7 +310,7 @@ def gaps(spark, d):
     return layout.gaps(views.doc_live(spark, d))
 
 
-@query("P4_find_space", f'WITH {_DOC}, {_LIVE}, {_GAPS} SELECT shard, "offset", size FROM gaps WHERE size >= 5000 ORDER BY shard, "offset" LIMIT 1')
+@query("P4_find_space", f'WITH {_DOC}, {_LIVE}, {_GAPS}, holes AS (SELECT * FROM gaps UNION ALL SELECT shard, max("offset" + size), 1099511627776 - max("offset" + size) FROM doc_live GROUP BY shard) SELECT shard, "offset"::BIGINT AS "offset", size::BIGINT AS size FROM holes WHERE size >= 5000 ORDER BY shard, "offset" LIMIT 1')
 def find_space(spark, d):
     return layout.find_space(views.doc_live(spark, d), 5000, 2**40)
 

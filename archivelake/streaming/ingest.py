@@ -12,7 +12,7 @@ from ..plans.archive import Archive
 
 def arriving(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """A stream of path, content, mtime_ns of the files that appear in a folder."""
-    rows = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     base = folder.partition("://")[2].lstrip("/") if "://" in folder else folder.strip("/")
     inner = F.ltrim(F.substr(F.regexp_replace("path", "^[a-z0-9+.-]+:/+", ""), F.lit(len(base) + 1)), F.lit("/"))
     return rows.select(inner.alias("path"), "content", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
