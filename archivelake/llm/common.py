@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of keys, the same in every run: that of the lowest hash of all columns."""
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))
+    return df.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") == 1).drop("__place")
+
+
 #: Rows up to which a side with a few dozen bytes a row is sent to every executor.
 BROADCAST_ROWS = 50_000
 

@@ -132,16 +132,16 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: int = 2, block: int = BLOCK
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of docs as often as the mix draws them: the whole part of draws, and once more with a seeded chance of the rest.
     A row is found again by doc_id and a hash of its text; rows that repeat both share the sum of their draws."""
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    drawn = mix(hashed, seed=seed, keep=("_h",))
-    chance = spread(seed + 4, F.col("doc_id"), F.col("_h")) / float(1 << 62)
-    drawn = drawn.groupBy("doc_id", "_h").agg(F.sum("draws").alias("draws"), F.count("*").alias("rows"))
+    hashed = docs.withColumn("__mix_h", F.xxhash64("text"))
+    drawn = mix(hashed, seed=seed, keep=("__mix_h",))
+    chance = spread(seed + 4, F.col("doc_id"), F.col("__mix_h")) / float(1 << 62)
+    drawn = drawn.groupBy("doc_id", "__mix_h").agg(F.sum("draws").alias("draws"), F.count("*").alias("rows"))
     drawn = drawn.withColumn("copies", (F.floor("draws") + F.when(chance < F.col("draws") - F.floor("draws"), 1).otherwise(0)).cast("int")).filter("copies > 0")
-    drawn = common.stored(drawn, "mix-draws").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_x"), "copies", "rows")
+    drawn = common.stored(drawn, "mix-draws").select(F.col("doc_id").alias("__mix_id"), F.col("__mix_h").alias("__mix_is"), F.col("copies").alias("__mix_n"), "rows")
     if not drawn.filter("rows > 1").isEmpty():
-        hashed = hashed.dropDuplicates(["doc_id", "_h"])
-    taken = hashed.join(drawn, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_x")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+        hashed = common.one_of_each(hashed, ["doc_id", "__mix_h"])
+    taken = hashed.join(drawn.drop("rows"), F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_h") == F.col("__mix_is")))
+    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_n"))).select(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,10 +248,10 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     name = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
     first = found.groupBy("component").agg(F.min(name).alias("first"))
     dropped = found.join(first, "component").filter(name != F.col("first")).select("doc_id", "h")
-    dropped = common.stored(dropped.distinct(), "near-dropped").select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"))
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(common.joinable(dropped), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_x")), "left_anti")
+    dropped = common.stored(dropped.distinct(), "near-dropped").select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_is"))
+    kept = docs.withColumn("__near_h", F.xxhash64("text")).join(common.joinable(dropped), F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_h") == F.col("__near_is")), "left_anti")
     if not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_h"])
+        kept = common.one_of_each(kept, ["doc_id", "__near_h"])
     return kept.select(*docs.columns)
 
 

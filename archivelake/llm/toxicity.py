@@ -198,6 +198,19 @@ def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc
     return shown.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score below 0.5."""
+    held, at = docs.sparkSession.sparkContext.broadcast(classifier), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        known = Features(model.chosen)
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(known.of(x.as_py())) < 0.5 for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of documents."""
     docs = common.table(spark, sf_dir, "documents")

@@ -43,3 +43,20 @@ def test_whole_run(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     rows.sort(key=lambda r: r["start"])
     assert rows and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, an empty table, and further columns with names that the operators use themselves."""
+    names = ["score", "predicted", "copies", "rows", "_h", "component", "fp", "hits", "items", "contaminated", "draws", "h", "_text", "key", "part"]
+    rows = [(i % 40 if i % 9 else None, [None, "", "one", "many words in this text " * (i % 7 + 1) + str(i)][i % 4], "en", None if i % 5 else "s", i, *range(len(names))) for i in range(120)]
+    rows += rows[:30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for frame in (docs, docs.filter("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, DATA)
+            assert name == "token_output" or out.columns == docs.columns
+            n = out.count()
+            assert n > 0 or frame is not docs
+            assert name in ("source_mixing",) or n <= len(rows)
+            if name == "simhash_near_dedup" and n:
+                assert out.filter("score = 0 and part = 14").count() == n
