@@ -6,6 +6,7 @@ one rename, so a reader sees the old state or the new one, and a job that fails
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import uuid
@@ -23,6 +24,28 @@ from ..sources import packed, shards
 MODES = {"r", "r+", "w+", "x+", "a+", "ax+"}
 
 
+class EntryFile(io.BytesIO):
+    """An entry's bytes; store, if any, gets them once when the file is closed."""
+
+    def __init__(self, data: bytes, store: Callable[[bytes], None] | None):
+        super().__init__(data)
+        self.store = store
+
+    def writable(self) -> bool:
+        return self.store is not None
+
+    def write(self, data) -> int:
+        if self.store is None:
+            raise io.UnsupportedOperation("not writable")
+        return super().write(data)
+
+    def close(self) -> None:
+        store, self.store = self.store, None
+        if store is not None and not self.closed:
+            store(self.getvalue())
+        super().close()
+
+
 class Archive:
     """Opens the archive at root. Modes: r reads; r+ changes; w+ makes a new one, x+ only where there is none; a+ and ax+ only add
     (a+ makes one if there is none)."""
@@ -192,8 +215,91 @@ class Archive:
     def walk(self, root: str = "") -> DataFrame:
         return listing.walk(self.files, self.dirs, root)
 
+    def stat(self, path: str) -> dict:
+        """The entry's row; a directory's size is that of its tree."""
+        row = lookup.lookup(self.entries, path).first()
+        if row is None:
+            raise EntryNotFound(path)
+        return row.asDict()
+
+    def info(self) -> dict:
+        """Totals, and bytes on disk against bytes of files."""
+        row = lookup.totals(self.files, self.dirs).first().asDict()
+        return row | {"num_shards": lookup.used_shards(self.files).first()[0], "limit": self.limit, "physical_size": sum(self.physical_sizes().values())}
+
+    def physical_sizes(self) -> dict[int, int]:
+        """Bytes on disk of each shard that files lie in."""
+        known, out = self._uris(), {}
+        for (shard,) in self.files.select("shard").distinct().orderBy("shard").toLocalIterator():
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(known.get(shard) or shards.shard_uri(f"{self.root}/data", shard))
+            out[shard] = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        return out
+
+    def needs_defrag(self) -> bool:
+        return sum(self.physical_sizes().values()) > self.total_size
+
+    def usage_json(self) -> str:
+        """The nested report that disk-usage browsers read. Children come sorted by directory, so the text grows as they stream."""
+        rows = listing.json_tree(self.files, self.dirs)
+        below = {r["parent"]: r["children"] for r in rows.toLocalIterator()}
+
+        def nest(path: str, own: str) -> list:
+            out = [json.loads(own)]
+            for child in below.get(path, []):
+                c = json.loads(child)
+                inner = f"{path}/{c['name']}" if path else c["name"]
+                out.append(nest(inner, child) if c["type"] == "d" else c)
+            return out
+
+        return json.dumps([1, 0, {"progname": "archivelake"}, nest("", json.dumps({"name": "/", "asize": self.total_size, "type": "d"}))])
+
     # -- changes
 
+    def open(self, path: str, mode: str = "r", encoding: str = "utf-8"):
+        """A file object of one entry, held in memory: r reads, w and x write, a goes on at the end, + does both; t is text. What
+        was written is stored when it is closed."""
+        kind, text = mode.replace("b", "").replace("t", ""), "t" in mode
+        if kind not in {"r", "r+", "w", "w+", "x", "x+", "a", "a+"}:
+            raise ValueError(f"mode {mode!r}")
+        there = self.isfile(path)
+        if kind[0] == "r" and not there:
+            raise EntryNotFound(path)
+        if kind[0] == "x" and there:
+            raise EntryExists(path)
+        data = self.read(path) if there and kind[0] in "ra" else b""
+        store = None if kind == "r" else lambda content: self.update(path, content)
+        file = EntryFile(data, store)
+        if kind[0] == "a":
+            file.seek(0, io.SEEK_END)
+        return io.TextIOWrapper(file, encoding=encoding) if text else file
+
+    def update(self, path: str, content: bytes) -> None:
+        """Another content under the same path; the rest of its metadata stays. The old bytes become a gap."""
+        self._may(change=self.isfile(path))
+        path = paths.normalize(path)
+        old = self.files.filter(F.col("path") == path).select("mode", "uid", "gid", "mtime_ns").first()
+        new = self.spark.createDataFrame([(path, bytearray(content), *(old or (None,) * 4))], "path string, content binary, mode int, uid int, gid int, mtime_ns long")
+        if old is not None:
+            self.change(lambda f: f.filter(F.col("path") != path))
+        self.add(new)
+
+    def fill_checksums(self) -> None:
+        """Computes the checksums of files that have none."""
+        new = integrity.checksums(self.contents(self.files.filter("crc32c is null"), check=False))
+        self.change(lambda f: algebra.update(f, new))
+
+    def vacuum(self) -> list[str]:
+        """Removes shards of its own that no file lies in; their names."""
+        self._may(change=True)
+        used = {r[0] for r in self.files.select("shard").distinct().toLocalIterator()}
+        fs, gone = self._fs(), []
+        for status in fs.globStatus(self._path("data-shard-*")) or []:
+            name = status.getPath().getName()
+            if name.rpartition("-")[2].isdigit() and int(name.rpartition("-")[2]) not in used:
+                fs.delete(status.getPath(), False)
+                gone.append(name)
+        return gone
+
     def add(self, new: DataFrame, exist_ok: bool = False) -> None:
         """Adds files (path, content, and any of mode, uid, gid, mtime_ns): written behind what is there, with checksums."""
         self._may()
@@ -311,9 +417,10 @@ class Archive:
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, files=self.files, dirs=self.dirs, entries=self.entries)
 
-    def to_packed(self, target: str, wrapper: str = "") -> int:
+    def to_packed(self, target: str, wrapper: str = "", where=None) -> int:
+        """One tar or zip file of all entries, or of the files that meet a condition and all directories."""
         kind = next(e[1:] for e in (".tar.gz", ".tar.bz2", ".tar.xz", ".tar", ".zip") if target.endswith(e))
-        both = self.contents().withColumn("type", F.lit("f")).unionByName(self.dirs.withColumn("type", F.lit("d")), allowMissingColumns=True)
+        both = self.contents(self.files if where is None else self.files.filter(where)).withColumn("type", F.lit("f")).unionByName(self.dirs.withColumn("type", F.lit("d")), allowMissingColumns=True)
         return packed.write_packed(both, target, kind, wrapper)
 
     @classmethod
@@ -326,6 +433,16 @@ class Archive:
         return out
 
 
+def write_index(spark: SparkSession, index: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """The table files of a mapping from path to (shard, offset, size)."""
+    return spark.createDataFrame([(p, paths.parent_of(p), *a, None, None, None, None, None) for p, a in index.items()], FILES)
+
+
+def read_index(files: DataFrame) -> dict[str, tuple[int, int, int]]:
+    """The mapping of a small archive."""
+    return {r[0]: (r[1], r[2], r[3]) for r in files.select("path", "shard", "offset", "size").collect()}
+
+
 def destroy(spark: SparkSession, root: str) -> None:
     """Removes an archive; only what has a manifest."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)

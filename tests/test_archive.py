@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archivelake.cli import main
 from archivelake.functions.codecs import Codecs, arrays, json_values
-from archivelake.plans.archive import Archive
+from archivelake.plans.archive import Archive, read_index, write_index
 from archivelake.schema import EntryExists, EntryNotFound, IntegrityError
 from archivelake.sources import packed, shards
 from archivelake.streaming import ingest
@@ -56,6 +56,33 @@ def test_changes(archive, spark):
         Archive(spark, archive.root + "-none")
 
 
+def test_file_objects(archive):
+    with archive.open("new.txt", "xt") as f:
+        f.write("one\n")
+    with archive.open("new.txt", "at") as f:
+        f.write("zwö\n")
+    with archive.open("new.txt", "rt") as f:
+        assert f.read() == "one\nzwö\n"
+    with archive.open("x.txt", "r+b") as f:
+        f.seek(1)
+        f.write(b"E")
+        f.truncate(3)
+    assert archive.read("x.txt") == b"hEl"
+    with pytest.raises(io.UnsupportedOperation):
+        archive.open("x.txt").write(b"")
+    with pytest.raises(EntryExists):
+        archive.open("x.txt", "x")
+    assert archive.verify().count() == 0 and archive.needs_defrag() and archive.stat("a")["size"] == 262
+    archive.change(lambda f: f.withColumn("crc32c", F.lit(None).cast("long")))
+    archive.fill_checksums()
+    assert archive.files.filter("crc32c is null").count() == 0 and archive.verify().count() == 0
+    archive.rmtree("a")
+    archive.vacuum()
+    assert archive.verify().count() == 0 and archive.info()["num_files"] == 3
+    assert '"name": "new.txt"' in archive.usage_json()
+    assert write_index(archive.spark, read_index(archive.files)).count() == 3
+
+
 def test_damage_is_found(archive):
     with open(shards.shard_uri(f"{archive.root}/data", 0), "r+b") as f:
         f.write(b"\xff\xff")
