@@ -50,12 +50,20 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _BEFORE_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "tbody", "thead", "tfoot", "option", "optgroup", "caption"}
 
 
+#: Levels of style nodes; what is nested deeper belongs to the node of that level.
+LEVELS = 64
+
+
 class Node:
-    __slots__ = ("tag", "mark", "parent", "children", "noise", "key")
+    """An element. Block elements are style nodes of their own, down to LEVELS; others belong to that of their parent."""
+
+    __slots__ = ("tag", "mark", "parent", "children", "noise", "key", "level", "own")
 
     def __init__(self, tag: str, mark: str, parent: Node | None, noise: bool):
         self.tag, self.mark, self.parent, self.noise, self.children = tag, mark, parent, noise, []
-        self.key = f"{parent.key}/{mark}" if parent else mark
+        self.own = parent is None or tag in BLOCK and parent.level < LEVELS
+        self.level = parent.level + self.own if parent else 0
+        self.key = hashed(f"{parent.key}/{mark}" if parent else mark) if self.own else parent.key
 
 
 def parse(page: str) -> Node:
@@ -190,9 +198,7 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     def dropped(node: Node) -> bool:
         if node.noise or node.tag in FRAME and (whole or node.tag != "header" or not any(x.tag in HEADINGS for x in walk(node))):
             return True
-        if not low or hashed(node.key) not in low:
-            return False
-        if node.tag not in BLOCK or node.tag in ("html", "body", "article", "main"):
+        if not node.own or node.key not in low or node.tag in ("html", "body", "article", "main"):
             return False
         return whole or not any(x.tag == "p" or x.tag in HEADINGS for x in walk(node))
 
@@ -211,6 +217,20 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower() if m else ""
 
 
+def direct(node: Node) -> tuple[list[str], list[str]]:
+    """The texts of a style node outside the nodes below it, and these nodes' marks."""
+    texts, marks, stack = [], [], list(reversed(node.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            texts.append(x)
+        elif x.own:
+            marks.append(x.mark)
+        elif x.tag not in SILENT:
+            stack.extend(reversed(x.children))
+    return texts, marks
+
+
 def style_counts(pages: DataFrame) -> DataFrame:
     """host, node, parent, kind, feature, pages: on how many pages of the host a style node has a feature. Kinds: 0 the node
     itself, 1 a text block directly in it, 2 a sequence of children's tags."""
@@ -224,14 +244,15 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     continue
                 seen = set()
                 for node in walk(parse(page or "")):
-                    if node.tag in SILENT:
+                    if node.tag in SILENT or not node.own:
                         continue
-                    key, up = hashed(node.key), hashed(node.parent.key) if node.parent else 0
+                    key, up = node.key, node.parent.key if node.parent else 0
+                    texts, marks = direct(node)
+                    text = " ".join("".join(texts).split())
                     seen.add((host, key, up, 0, 0))
-                    text = " ".join("".join(x for x in node.children if isinstance(x, str)).split())
                     if text:
                         seen.add((host, key, up, 1, hashed(text)))
-                    seen.add((host, key, up, 2, hashed(" ".join(x.mark for x in node.children if isinstance(x, Node)))))
+                    seen.add((host, key, up, 2, hashed(" ".join(marks))))
                 found.update(seen)
             rows = list(zip(*found)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(rows[i], pa.int64()) for i in (1, 2, 3, 4)), pa.array(list(found.values()), pa.int64())], ["host", "node", "parent", "kind", "feature", "pages"])
@@ -240,20 +261,26 @@ def style_counts(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "node", "parent", "kind", "feature").agg(F.sum("pages").alias("pages"))
 
 
-def low_nodes(counts: DataFrame, low: float = LOW, gamma: float = GAMMA, fewest: int = FEWEST, deepest: int = 24) -> DataFrame:
+def low_nodes(counts: DataFrame, low: float = LOW, gamma: float = GAMMA, fewest: int = FEWEST) -> DataFrame:
     """host and low: the hashes of its style nodes of composite importance below low, of those on fewest pages or more."""
     counts = common.stored(counts, "style-counts")
-    nodes = counts.filter("kind = 0").select("host", "node", "parent", F.col("pages").alias("m"))
     on = ["host", "node"]
-    parts = counts.filter("kind > 0").join(nodes.select("host", "node", "m"), on)
-    share, enough = F.col("pages") / F.col("m"), F.col("m") > 1
-    content = F.when((F.col("kind") == 1) & enough, 1 - F.log("pages") / F.log("m")).when(F.col("kind") == 1, 1.0)
-    shown = F.when((F.col("kind") == 2) & enough, -share * F.log(share) / F.log("m"))
-    own = parts.groupBy(*on).agg(F.sum(content).alias("content"), F.count(content).alias("texts"), F.coalesce(F.sum(shown), F.lit(1.0)).alias("shown"), F.sum((F.col("kind") == 2).cast("int")).alias("kinds"))
-    state = common.stored(nodes.join(own, on).withColumnsRenamed({"content": "below", "texts": "n"}).fillna({"below": 0.0}), "style-nodes")
+    # sums of logarithms are enough, so a node's many blocks are pre-aggregated and never meet its page count in a join:
+    # sum(1 - ln c / ln m) = n - sum(ln c) / ln m, and -sum(c / m * ln(c / m)) = sum(c) / m * ln m - sum(c * ln c) / m
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    c = F.col("pages")
+    own = counts.groupBy(*on).agg(
+        F.max("parent").alias("parent"), of(0, c).alias("m"), F.coalesce(of(1, F.lit(1)), F.lit(0)).alias("n"), F.coalesce(of(1, F.log(c)), F.lit(0.0)).alias("logs"),
+        of(2, F.lit(1)).alias("kinds"), of(2, c).alias("seen"), of(2, c * F.log(c)).alias("turns"),
+    )
+    m, enough = F.col("m"), F.col("m") > 1
+    below = F.when(enough, F.col("n") - F.col("logs") / F.log(m)).otherwise(F.col("n").cast("double"))
+    shown = F.when(enough, (F.col("seen") / m * F.log(m) - F.col("turns") / m) / F.log(m)).otherwise(1.0)
+    state = common.stored(own.select(*on, "parent", "m", "n", below.alias("below"), shown.alias("shown"), "kinds"), "style-nodes")
+    nodes = state.select("host", "node", "parent")
     # sums of content importance climb to the ancestors, one level a round
     rising, total = state.select("host", "parent", "below", "n").filter("n > 0 and parent <> 0"), state.select("host", "node", "below", "n")
-    for _ in range(deepest):
+    while True:  # LEVELS rounds at most
         rising = common.stored(rising.groupBy("host", F.col("parent").alias("node")).agg(F.sum("below").alias("below"), F.sum("n").alias("n")), "style-rise")
         if rising.isEmpty():
             break
