@@ -10,7 +10,9 @@ in 39 positions, each with the ``REACH`` bytes on its either side:
 2. The open anchors' surroundings are cut from the texts and shuffled by piece. A task sorts the suffixes that start at them
    deep-shallow, and the reversed texts before them as well. At each offset, strings are equal if they lie in the same
    intervals of common prefixes on both sides, so one pass an offset finds the first of every equal string. A piece with more
-   than ``HOT`` kinds of surroundings goes by the strings' own 128-bit hashes instead, pre-aggregated, with no group at all.
+   than ``WARM`` kinds of surroundings is dealt by more than itself: its offsets are cut into ``RANGES`` ranges, and strings at
+   offsets a to b agree in at least a bytes to the left and REACH - b to the right, so each range has groups of its own by these
+   bytes. Groups of more than ``HOT`` go by the strings' own 128-bit hashes, pre-aggregated, with no group at all.
 3. What repeats goes back to the documents and merges into spans.
 """
 
@@ -33,6 +35,8 @@ REACH = WIDTH - PIECE
 SPAN = REACH + 1
 #: Windows of a piece of text that is hashed at once; bytes of texts in a batch; open anchors sorted at once, kinds of a hot piece.
 SEGMENT, BATCH, CHUNK, HOT = 1 << 21, 1 << 22, 40_000, 40_000
+#: Kinds of surroundings from which a piece's groups are cut by ranges of offsets, and their number.
+WARM, RANGES = 500, 4
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -171,23 +175,36 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (key, packed text, open: pieces and places): piece, key, at, left (reversed) and right surroundings."""
+    """Over (key, packed text, open: pieces, places, warm): group, key, at, left (reversed) and right surroundings, and the range
+    of offsets that the group is for."""
+    from xxhash import xxh64_intdigest
+
+    bounds = [REACH * i // RANGES for i in range(RANGES + 1)]
+    ranges = [(a + (i > 0), b) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
     for batch in batches:
         for i in range(0, len(batch), 64):
             rows = []
             for key, packed, open_ in zip(*(batch.column(c).slice(i, 64).to_pylist() for c in range(3))):
                 raw = zlib.decompress(packed)
-                rows.extend((x["piece"], key, x["at"], raw[max(0, x["at"] - REACH) : x["at"]][::-1], raw[x["at"] : x["at"] + WIDTH]) for x in open_)
+                for x in open_:
+                    at, left, right = x["at"], raw[max(0, x["at"] - REACH) : x["at"]][::-1], raw[x["at"] : x["at"] + WIDTH]
+                    if not x["warm"]:
+                        rows.append((x["piece"], key, at, left, right, 0, REACH))
+                        continue
+                    for a, b in ranges:
+                        if len(left) >= a and len(right) >= WIDTH - b:
+                            group = xxh64_intdigest(b"%d %d " % (x["piece"], a) + left[:a] + right[: WIDTH - b])
+                            rows.append((group - (1 << 63), key, at, left, right, a, b))
             if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], ["piece", "key", "at", "left", "right"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["piece", "key", "at", "left", "right", "first", "last"])
 
 
-def repeated_offsets(key: np.ndarray, at: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For anchors with reversed left and right surroundings: the least and greatest offset of an anchor in a string that
-    starts earlier (key, at) in these surroundings as well; (1, 0) where there is none."""
+def repeated_offsets(key: np.ndarray, at: np.ndarray, left: list[bytes], right: list[bytes], begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors with reversed left and right surroundings: the least and greatest offset, from begin to end, of an anchor in
+    a string that starts earlier (key, at) in such surroundings as well; (1, 0) where there is none."""
     rank = np.lexsort((at, key))
-    left, right = [left[i] for i in rank], [right[i] for i in rank]
+    left, right, begin, end = [left[i] for i in rank], [right[i] for i in rank], begin[rank], end[rank]
     n = len(rank)
     sides = []
     for strings, shallow in ((left, 16), (right, PIECE)):
@@ -197,7 +214,7 @@ def repeated_offsets(key: np.ndarray, at: np.ndarray, left: list[bytes], right:
     low, high = np.full(n, 1, np.int64), np.zeros(n, np.int64)
     lid, rid = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(REACH + 1):
-        fits = np.nonzero((llen >= o) & (rlen >= WIDTH - o))[0]
+        fits = np.nonzero((llen >= o) & (rlen >= WIDTH - o) & (begin <= o) & (o <= end))[0]
         if len(fits) < 2:
             continue
         lid[lorder], rid[rorder] = np.cumsum(llcp < o), np.cumsum(rlcp < WIDTH - o)
@@ -214,16 +231,17 @@ def repeated_offsets(key: np.ndarray, at: np.ndarray, left: list[bytes], right:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (piece, key, at, left, right) sorted by piece: key, at, low, high of what is repeated, for whole pieces at a time."""
-    piece, key, at, left, right = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), [], []
+    """Over (piece, key, at, left, right, first, last) sorted by piece: key, at, low, high of what is repeated, for whole pieces at a time."""
+    piece, key, at, begin, end = (np.empty(0, np.int64) for _ in range(5))
+    left, right = [], []
 
     def solve(n: int) -> pa.RecordBatch:
-        a, b = repeated_offsets(key[:n], at[:n], left[:n], right[:n])
+        a, b = repeated_offsets(key[:n], at[:n], left[:n], right[:n], begin[:n], end[:n])
         hit = a <= b
         return pa.RecordBatch.from_arrays([pa.array(key[:n][hit]), pa.array(at[:n][hit].astype(np.int32)), pa.array(a[hit].astype(np.int32)), pa.array(b[hit].astype(np.int32))], ["key", "at", "low", "high"])
 
     for batch in batches:
-        piece, key, at = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((piece, key, at)))
+        piece, key, at, begin, end = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in zip((0, 1, 2, 5, 6), (piece, key, at, begin, end)))
         left += batch.column(3).to_pylist()
         right += batch.column(4).to_pylist()
         while len(piece) >= CHUNK:
@@ -232,7 +250,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             n = int(ends[max(0, np.searchsorted(ends, CHUNK, "right") - 1)])
             yield solve(n)
-            piece, key, at, left, right = piece[n:], key[n:], at[n:], left[n:], right[n:]
+            piece, key, at, begin, end, left, right = (x[n:] for x in (piece, key, at, begin, end, left, right))
     if len(piece):
         yield solve(len(piece))
 
@@ -244,9 +262,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 256):
             rows = []
-            for _, key, at, left, right in zip(*(batch.column(c).slice(i, 256).to_pylist() for c in range(5))):
+            for _, key, at, left, right, first, last in zip(*(batch.column(c).slice(i, 256).to_pylist() for c in range(7))):
                 whole, lead = left[::-1] + right, len(left)
-                rows.extend((key, at, o, xxh3_128_digest(whole[lead - o : lead - o + WIDTH])) for o in range(max(0, WIDTH - len(right)), min(REACH, lead) + 1))
+                rows.extend((key, at, o, xxh3_128_digest(whole[lead - o : lead - o + WIDTH])) for o in range(max(first, WIDTH - len(right)), min(last, lead) + 1))
             if rows:
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["key", "at", "offset", "string"])
@@ -315,16 +333,20 @@ def remove_repeats(docs: DataFrame, keep: bool = True, hot: int = HOT) -> DataFr
     found = common.stored(found, "anchors")
 
     packed = docs.mapInArrow(_packed, "key long, doc_id long, packed binary")
-    open_ = found.filter("kind = 0").groupBy("key").agg(F.collect_list(F.struct("piece", "at")).alias("open"))
-    cut = packed.select("key", "packed").join(open_, "key").mapInArrow(_cut, "piece long, key long, at int, left binary, right binary")
-    crowded = common.stored(found.filter("kind = 0").groupBy("piece").count().filter(F.col("count") > hot).select("piece"), "hot-pieces")
-    if crowded.isEmpty():
+    open_ = found.filter("kind = 0").select("key", "piece", "at")
+    warm = common.stored(open_.groupBy("piece").count().filter(F.col("count") > min(WARM, hot)), "warm-pieces")
+    marked = open_.join(common.joinable(warm.select("piece", F.lit(True).alias("warm"))), "piece", "left")
+    open_ = marked.groupBy("key").agg(F.collect_list(F.struct("piece", "at", F.coalesce("warm", F.lit(False)).alias("warm"))).alias("open"))
+    columns = ["piece", "key", "at", "left", "right", "first", "last"]
+    cut = packed.select("key", "packed").join(open_, "key").mapInArrow(_cut, "piece long, key long, at int, left binary, right binary, first int, last int")
+    if warm.filter(F.col("count") > hot).isEmpty():
         partly = cut.repartition("piece").sortWithinPartitions("piece").mapInArrow(_sorted, "key long, at int, low int, high int")
     else:
         cut = common.stored(cut, "surroundings")
-        cold = cut.join(common.joinable(crowded), "piece", "left_anti")
+        crowded = common.stored(cut.groupBy("piece").count().filter(F.col("count") > hot).select("piece"), "hot-pieces")
+        cold = cut.join(common.joinable(crowded), "piece", "left_anti").select(*columns)
         partly = cold.repartition("piece").sortWithinPartitions("piece").mapInArrow(_sorted, "key long, at int, low int, high int")
-        strings = cut.join(common.joinable(crowded), "piece", "left_semi").select("piece", "key", "at", "left", "right").mapInArrow(_hashed, "key long, at int, offset int, string binary")
+        strings = cut.join(common.joinable(crowded), "piece", "left_semi").select(*columns).mapInArrow(_hashed, "key long, at int, offset int, string binary")
         first = strings.groupBy("offset", "string").agg(F.min(F.struct("key", "at")).alias("first"))
         later = strings.join(first, ["offset", "string"]).filter(F.struct("key", "at") > F.col("first"))
         partly = partly.unionByName(later.groupBy("key", "at").agg(F.min("offset").alias("low"), F.max("offset").alias("high")))

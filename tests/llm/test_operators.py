@@ -294,8 +294,10 @@ def test_repeats_with_repeated_rows(docs):
     assert sorted(r["n_removed"] for r in got if r["doc_id"] == 6) == [0, len(words(4000, 2))]
 
 
-def test_repeats_at_random(spark):
+@pytest.mark.parametrize("warm,hot", [(500, 40_000), (1, 40_000), (3, 4)])
+def test_repeats_at_random(spark, monkeypatch, warm, hot):
     """Small alphabets, shared passages, edits: many anchors with several kinds of surroundings."""
+    monkeypatch.setattr(suffix_dedup, "WARM", warm)
     r = random.Random(11)
     passages = ["".join(r.choices("ab ", k=r.randrange(90, 260))) for _ in range(6)] + ["".join(chr(r.randrange(97, 123)) for _ in range(140)) for _ in range(6)]
     rows = []
@@ -306,7 +308,7 @@ def test_repeats_at_random(spark):
             k = r.randrange(len(text))
             text = text[:k] + "#" + text[k + 1 :]
         rows.append((i, text))
-    got = rows_of(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), keep=False))
+    got = rows_of(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), keep=False, hot=hot))
     assert Counter(tuple(x[c] for c in DIGEST) for x in got) == slow_removal(rows)
 
 
