@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,22 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_slot: dict = {"owner": None, "value": None}
+
+
+def held(owner: str, make=None):
+    """What a Python worker keeps between its tasks, such as caches: one operator's at a time. Workers are used again by later
+    stages, so when another operator's task starts, what the one before it kept goes back to the system."""
+    if _slot["owner"] != owner:
+        _slot.update(owner=owner, value=None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+        _slot["value"] = make() if make else None
+    return _slot["value"]
+
+
 def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each value of keys, the same in every run: that of the lowest hash of all columns."""
     order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))

@@ -27,7 +27,7 @@ from .fm_index import FMIndex
 WINDOW = 10
 SLICE_BYTES = 8 << 20
 #: Words of a shard, at most about.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 
 _CLASS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -69,7 +69,7 @@ class Phrases:
         keep = self.single[words]
         longer = [n for n in self.lengths if n > 1]
         if longer and len(words) > 1:
-            pair = words[:-1] * self.base + words[1:]
+            pair = words[:-1].astype(np.int64) * self.base + words[1:]
             at = np.nonzero(self.maybe[self.hashed(pair)] & (words[:-1] > 0) & (words[1:] > 0))[0]
             at = at[np.isin(pair[at], self.pairs)]
             if len(at):
@@ -107,7 +107,7 @@ def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases):
         total = 0
         for i in range(len(batch)):
             words = plain(texts[i].as_py()).split()
-            held.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
+            held.append(np.fromiter((number(w, 0) for w in words), np.int32, len(words)))
             total += len(words)
             if total >= SHARD_WORDS or i + 1 == len(batch):
                 yield batch.slice(begin, i + 1 - begin), held
@@ -118,7 +118,7 @@ def _hits(docs: list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndarray], l
     """For each document: the merged word ranges that occurrences cover (pairs), and the items."""
     sizes = np.array([len(x) + 1 for x in docs])
     start = np.concatenate([[0], np.cumsum(sizes)])
-    words = np.concatenate([np.append(x, 0) for x in docs])
+    words = np.concatenate([y for x in docs for y in (x, np.zeros(1, np.int32))])
     cover, items = np.zeros(len(words) + 1, np.int32), [set() for _ in docs]
     for n, which, at in phrases.occurrences(words):
         np.add.at(cover, at, 1)
@@ -165,6 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         schema += more
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, final=final) -> Iterator[pa.RecordBatch]:
+            common.held("decontamination")
             phrases = held.value
             for batch, words in _shards(batches, phrases):
                 ranges, found = _hits(words, phrases)

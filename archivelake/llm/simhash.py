@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int, words64: int = 1) -> DataFrame:
     without words all bits are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("simhash")
         for batch in batches:
             found = [fingerprint(x.as_py(), shingle, words64) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "h", "fp"])
@@ -174,6 +175,7 @@ def _compare(radius: int, words64: int, held: int):
             yield np.concatenate(pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("simhash")
         for block in blocks(batches):
             yield from links(block)
 
@@ -210,6 +212,7 @@ def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR
     chosen = [random.choice(64 * words64, key_bits, replace=False) for _ in range(tables)]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("simhash")
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 some = batch.column(0).slice(at, 4096)

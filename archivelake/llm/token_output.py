@@ -28,7 +28,7 @@ from . import common
 
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 128 << 10, 500
 #: Words of up to so many characters are remembered with their ids, up to so many of them in each of two generations.
-WORD, WORDS = 48, 450_000
+WORD, WORDS = 48, 300_000
 #: Documents in a batch that goes back to Spark.
 ROWS = 256
 
@@ -38,8 +38,6 @@ for _byte in range(256):
     if not (33 <= _byte <= 126 or 161 <= _byte <= 172 or _byte >= 174):
         BYTES[_byte] = 256 + len(BYTES)
 
-_encoders: dict = {}
-
 
 class Uncut(Exception):
     """A piece can't be cut off from its neighbours."""
@@ -111,12 +109,6 @@ class Encoder:
         return b"".join(ids)
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text, appends end_id, writes the files to path and returns them as a table.
 
@@ -125,7 +117,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        known, part, start = common.held(f"encoder {tokenizer_path}", lambda: Encoder(tokenizer_path)), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), ROWS):
@@ -173,6 +165,7 @@ def digests(files: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("digests")
         for batch in batches:
             ids = batch.column(3)
             raw, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), ids.offsets.to_numpy()

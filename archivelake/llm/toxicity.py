@@ -90,6 +90,7 @@ def features_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (a bounded sample: id, toxic, any) with the features of their texts as bytes; of rows that share an id, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("toxicity")
         known = Features()
         for batch in batches:
             found = [np.array(sorted(known.of(x.as_py())), np.int32).tobytes() for x in batch.column(1)]
@@ -189,6 +190,7 @@ def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc
     schema = shown.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("toxicity")
         model = held.value
         known = Features(model.chosen)
         for batch in batches:
@@ -203,6 +205,7 @@ def clean(docs: DataFrame, classifier: Classifier) -> DataFrame:
     held, at = docs.sparkSession.sparkContext.broadcast(classifier), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("toxicity")
         model = held.value
         known = Features(model.chosen)
         for batch in batches:
