@@ -48,6 +48,23 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows in a batch for Python: of whole texts, and of narrow rows (Spark's own number).
+TEXT_ROWS, NARROW_ROWS = 1000, 10_000
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Sets how many rows the plans that run from now on hand to Python at once; texts in large batches fill its memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _slot: dict = {"owner": None, "value": None}
 
 
@@ -56,10 +73,7 @@ def held(owner: str, make=None):
     stages, so when another operator's task starts, what the one before it kept goes back to the system."""
     if _slot["owner"] != owner:
         _slot.update(owner=owner, value=None)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
         _slot["value"] = make() if make else None
     return _slot["value"]
 

@@ -300,6 +300,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null or empty page has the text ''; pages without a host have no style tree and are judged by roles alone. Repeated
     rows each count; other columns are left out.
     """
+    common.batch_rows(pages.sparkSession, common.TEXT_ROWS)
     low = common.joinable(common.stored(low_nodes(style_counts(pages)), "style-low"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][A-Za-z0-9_+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", "url", "html", host.alias("_host")).join(low, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "low")

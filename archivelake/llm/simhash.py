@@ -232,8 +232,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> D
     Columns of docs other than doc_id and text are left out.
     """
     words64 = 1 if exact else NEAR_BITS // 64
+    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     rows = common.stored(fingerprints(docs, shingle, words64), "fingerprints")
     classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+    common.batch_rows(docs.sparkSession, common.NARROW_ROWS)
     links = common.stored((link_exact if exact else link_near)(classes.select("fp")), "near-links")
     member = components(links)
     lowest = member.join(classes, member.node == classes.fp).groupBy("component").agg(F.min("low").alias("component_id"))

@@ -326,6 +326,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True, hot: int = HOT) -> DataFr
     A null text is empty. A row with the id of another comes later if its text's hash is greater; rows that repeat id and text
     count as one after the other. A null id comes before all others. Other columns of docs are left out.
     """
+    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     docs = _keyed(docs)
     rows = docs.select("key", "text").mapInArrow(_anchor_rows, "part long, piece long, around long, key long, at int, kind int")
     order = [F.desc("kind"), "piece", "around", "key", "at"]

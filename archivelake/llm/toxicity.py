@@ -30,7 +30,7 @@ POSITIVES, UNLABELLED = 2000, 5000
 LEAST, DIMENSIONS = 4, 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 #: Words whose features a worker remembers.
-WORDS = 200_000
+WORDS = 60_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -173,19 +173,24 @@ def remainder(folds: int = 5):
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Classifier:
     """From rows outside the held-out fold alone. Null labels are no labels; an id with both labels is toxic."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     prior = known.agg(F.avg("toxic")).first()[0]
     toxic = sample(known.filter("toxic = 1"), positives, seed).withColumn("toxic", F.lit(True))
     others = sample(docs.filter(F.col("doc_id").isNotNull() & (remainder() != 0)), unlabelled, seed + 1).withColumn("unlabelled", F.lit(True))
     ids = toxic.join(others, "doc_id", "full").fillna(False)
     rows = features_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids.withColumn("doc_id", F.col("doc_id").cast("long"))).orderBy("doc_id").collect()
     as_features = lambda kept: [np.frombuffer(r["f"], np.int32) for r in kept]
-    return fit(as_features(r for r in rows if r["toxic"]), as_features(r for r in rows if r["unlabelled"]), prior or 0.0)
+    model = fit(as_features(r for r in rows if r["toxic"]), as_features(r for r in rows if r["unlabelled"]), prior or 0.0)
+    del rows
+    common.trim()
+    return model
 
 
 def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs with score (0 to 1, higher: toxic likelier; of empty and null texts too) and predicted (1
     from 0.5 on)."""
     held = docs.sparkSession.sparkContext.broadcast(classifier)
+    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     shown = docs.select(*keep, F.col("text").alias("_text"))
     schema = shown.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
@@ -202,6 +207,7 @@ def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc
 
 def clean(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """The rows of docs, with all their columns, whose texts score below 0.5."""
+    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     held, at = docs.sparkSession.sparkContext.broadcast(classifier), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
