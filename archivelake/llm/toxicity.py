@@ -122,12 +122,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         for r in rows:
             held[r] += 1  # a text has each feature once
     # a feature is kept if its share among positives is above that among all texts by more than chance
-    a, b = (p + 0.5) / (len(positive) + 1), (u + 0.5) / (len(unlabelled) + 1)
+    often = np.nonzero(p >= LEAST)[0]
+    a, b = (p[often] + 0.5) / (len(positive) + 1), (u[often] + 0.5) / (len(unlabelled) + 1)
     sure = np.abs(a - b) / np.sqrt(a * (1 - a) / len(positive) + b * (1 - b) / len(unlabelled))
-    chosen = np.nonzero((p >= LEAST) & (a > 1.5 * b) & (sure > sureness))[0]
+    chosen = often[(a > 1.5 * b) & (sure > sureness)]
     if not len(chosen):
         return none
-    column = np.full(DIMENSIONS, -1, np.int64)
+    column = np.full(DIMENSIONS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
     narrow = lambda rows: [c[c >= 0] for c in (column[r] for r in rows)]
     pos, unl = narrow(positive), narrow(unlabelled)
