@@ -13,8 +13,12 @@ Two ways to the keys:
   neighbour, so each hot fingerprint is sent to its 65 neighbours and every neighbour's few are linked.
 - ``link_near`` (large radius, wide fingerprints): ``TABLES`` seeded samples of ``KEY_BITS`` bits. A pair of documents with
   similarity s of their shingle sets is missed by all with probability (1 - (1 - a / pi) ** KEY_BITS) ** TABLES, a the angle
-  arccos(2s / (1 + s)): 9 % at 0.8, 1.6 % at 0.85, 0.1 % at 0.9. A key held by more than ``HELD`` distinct fingerprints is
-  compared in runs of that length, each together with the roots of all runs before it.
+  arccos(2s / (1 + s)): 0.07 % at 0.8, less above. Few shingles scatter more, so sets of at most ``SHORT`` have further keys,
+  the lowest hashes of the set, of which two sets of the least similarity always share one. A key held by more than ``HELD``
+  distinct fingerprints is compared in runs of that length, each together with the roots of all runs before it.
+
+``link_near`` only proposes: what it joins is a group of candidates. ``link_similar`` compares the shingle sets in a group, all
+with all, and only pairs of similarity ``SIMILAR`` or more become links.
 """
 
 from __future__ import annotations
@@ -31,28 +35,37 @@ from . import common
 from .components import components
 
 HOT, POOL, HELD = 8192, 1024, 32_768
-TABLES, KEY_BITS = 64, 20
-#: Of 256 bits: similarity 0.8 of shingle sets lets 39 differ, give or take 6.
-NEAR_BITS, NEAR_RADIUS = 256, 44
+TABLES, KEY_BITS = 96, 16
+#: Of 256 bits: similarity 0.8 of shingle sets lets 39 differ, give or take 6; candidates may differ by four times that more.
+NEAR_BITS, NEAR_RADIUS = 256, 64
+#: Least share of common shingles among all of two sets, as a fraction. Shingles of a set that has keys of its own.
+SIMILAR, SHORT = (4, 5), 40
+#: Sets and shingles in a run of a large group's members; every two runs are compared in a task of their own.
+RUN_SETS, RUN_SHINGLES = 2048, 2_000_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int, words64: int) -> bytes:
-    """8 * words64 bytes, highest bit first; the last 8 from the shingles' XXH64 with seed 42 itself, the others from
-    hashes remixed from it. Words are cut at ASCII white space, A-Z in lower case; fewer words than shingle are one."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle. Words are cut at ASCII white space, A-Z in lower case; fewer words than shingle are
+    one."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * words64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     cut = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in cut), np.uint64, n)
-    mixed = [h]
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in cut), np.uint64, n)
+
+
+def folded(h: np.ndarray, words64: int) -> bytes:
+    """The fingerprint of hashes: 8 * words64 bytes, highest bit first; the last 8 from the hashes themselves, the others from
+    hashes remixed from them. Without hashes all bits are 0."""
+    n, mixed = len(h), [h]
     for k in range(1, words64):
         x = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,6 +79,11 @@ def fingerprint(text: str | None, shingle: int, words64: int) -> bytes:
     return np.packbits(2 * (counts @ _BITS) > n, axis=None, bitorder="little").tobytes()[::-1]
 
 
+def fingerprint(text: str | None, shingle: int, words64: int) -> bytes:
+    """The fingerprint of a text's shingles, each as often as it occurs."""
+    return folded(shingles(text, shingle), words64)
+
+
 def fingerprints(docs: DataFrame, shingle: int, words64: int = 1) -> DataFrame:
     """doc_id, h (a hash of the text, with doc_id the row's name) and fp, the fingerprint's bytes. A null text has no words;
     without words all bits are 0."""
@@ -79,6 +97,67 @@ def fingerprints(docs: DataFrame, shingle: int, words64: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text")).mapInArrow(run, "doc_id long, h long, fp binary")
 
 
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, h (as in fingerprints), name (the fingerprint of the set of shingles and a hash of the set), n (its size), first
+    (of a set of at most SHORT, the hashes of which a similar set has one too) and members (the set, 8 bytes a hash, sorted)."""
+    from_all, of_all = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_digest
+
+        common.held("simhash")
+        for batch in batches:
+            names, sizes, first, members = [], [], [], []
+            for x in batch.column(2):
+                each = np.unique(shingles(x.as_py(), shingle))
+                raw, n = each.astype("<u8").tobytes(), len(each)
+                names.append(folded(each, NEAR_BITS // 64) + xxh64_digest(raw))
+                sizes.append(n)
+                first.append(raw[: 8 * (n - -(-n * from_all // of_all) + 1)] if 0 < n <= SHORT else b"")
+                members.append(raw)
+            arrays = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(first, pa.binary()), pa.array(members, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "h", "name", "n", "first", "members"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.col("text")).mapInArrow(run, "doc_id long, h long, name binary, n long, first binary, members binary")
+
+
+def similar_components(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest index reachable from each of sets (of sorted hashes) over pairs of similarity SIMILAR or more."""
+    m, (share, whole) = len(sets), SIMILAR
+    sizes = np.array([len(x) for x in sets])
+    if m == 2:
+        common_ones = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if whole * common_ones >= share * (sizes.sum() - common_ones) else 1])
+    label, at = np.arange(m), np.concatenate([[0], np.cumsum(sizes)])
+    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(m), sizes)[np.argsort(token, kind="stable")]
+    begins = np.concatenate([[0], np.cumsum(held)])[:-1]
+    visited = np.zeros(m, bool)
+
+    def visit(i: int) -> None:
+        """Joins i with all that are similar to it."""
+        visited[i] = True
+        shared = np.zeros(m, np.int64)
+        mine = token[at[i] : at[i + 1]]
+        for part in np.array_split(mine, int(held[mine].sum()) // 4_000_000 + 1):
+            times = held[part]
+            spread = np.repeat(begins[part] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            shared += np.bincount(holder[spread], minlength=m)
+        shared[i] = sizes[i]
+        near = np.unique(label[whole * shared >= share * (sizes + sizes[i] - shared)])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+
+    for i in range(m):
+        if (label == label[i]).sum() == 1:
+            visit(i)
+    # each pair that is left open has a member outside the largest component
+    largest = np.bincount(label).argmax()
+    for i in np.nonzero(~visited & (label != largest))[0].tolist():
+        visit(i)
+    return label
+
+
 def local_components(fps: np.ndarray, radius: int) -> np.ndarray:
     """The smallest index reachable from each of fps (m x words of 64 bits) over links of at most radius bits."""
     m, bits = len(fps), fps.shape[1] * 64
@@ -207,7 +286,8 @@ def link_exact(fps: DataFrame) -> DataFrame:
 
 
 def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS, seed: int = 7) -> DataFrame:
-    """fps (fp: distinct fingerprints) -> (u, v): links among those within radius bits that share a sampled key."""
+    """fps (fp: distinct fingerprints, first: further keys, 8 bytes each) -> (u, v): links among those within radius bits that
+    share a key."""
     random = np.random.default_rng(seed)
     chosen = [random.choice(64 * words64, key_bits, replace=False) for _ in range(tables)]
 
@@ -219,24 +299,76 @@ def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR
                 each = np.unpackbits(np.frombuffer(b"".join(some.to_pylist()), np.uint8).reshape(len(some), -1), axis=1, bitorder="little").astype(np.int64)
                 found = [(np.int64(k) << 32) | (each[:, bits] << np.arange(key_bits)).sum(1) for k, bits in enumerate(chosen)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.concat_arrays([some] * tables)], ["key", "fp"])
+                more = [x.as_py() for x in batch.column(1).slice(at, 4096)]
+                owner = np.repeat(np.arange(len(more)), [len(x) // 8 for x in more])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(more), "<i8")), some.take(pa.array(owner))], ["key", "fp"])
+
+    return _compared(fps.select("fp", "first").mapInArrow(keys, "key long, fp binary"), radius, words64, HELD)
+
+
+def link_similar(sets: DataFrame, classes: DataFrame, run_sets: int = RUN_SETS, run_shingles: int = RUN_SHINGLES) -> DataFrame:
+    """sets (name, members), classes (name, n, group; a name once) -> (u, v): links between the names of similar sets of a
+    group, as stars. A group of more than run_sets sets or run_shingles hashes is dealt to runs, and every two of them meet."""
+    runs = F.ceil(F.greatest(F.count("*") / run_sets, F.sum("n") / run_shingles)).cast("int")
+    groups = classes.groupBy("group").agg(F.count("*").alias("size"), runs.alias("runs")).filter("size > 1").select("group", "runs")
+    groups = common.stored(groups, "near-groups")
+    crowded = common.stored(classes.join(common.joinable(groups), "group").select("name", "group", "runs"), "near-crowded")
+    once = sets.join(common.joinable(crowded), "name").groupBy("name", "group", "runs").agg(F.first("members").alias("members"))
+    own = F.pmod(F.xxhash64("name"), F.col("runs")).cast("int")
+    others = F.when(F.col("runs") <= 2, F.array(F.lit(-1))).otherwise(F.expr("filter(sequence(0, greatest(runs, 1) - 1), x -> x <> own)"))
+    dealt = once.withColumn("own", own).withColumn("other", F.explode(others))
+    pair = F.when(F.col("other") < 0, F.xxhash64("group")).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
+
+    def linked(names: list[bytes], members: list[bytes]) -> Iterator[pa.RecordBatch]:
+        label = similar_components([np.frombuffer(x, "<u8") for x in members])
+        moved = np.nonzero(label != np.arange(len(label)))[0].tolist()
+        if moved:
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in moved], pa.binary()), pa.array([names[label[i]] for i in moved], pa.binary())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("simhash")
+        key, names, members = None, [], []
+        for batch in batches:
+            for k, name, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if k != key:
+                    if len(names) > 1:
+                        yield from linked(names, members)
+                    key, names, members = k, [], []
+                names.append(name.as_py())
+                members.append(some.as_py())
+        if len(names) > 1:
+            yield from linked(names, members)
 
-    return _compared(fps.mapInArrow(keys, "key long, fp binary"), radius, words64, HELD)
+    return dealt.select(pair.alias("pair"), "name", "members").repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> DataFrame:
     """doc_id, h, fp, component (a fingerprint that names it) and component_id of each row of docs.
 
-    exact: 64-bit fingerprints linked at 2 bits or fewer, all of them; otherwise 256 bits at about 0.8 similarity or more.
+    exact: 64-bit fingerprints linked at 2 bits or fewer, all of them; otherwise sets of shingles linked at 0.8 similarity or
+    more, each link checked against the sets (fp is then the set's fingerprint of 256 bits and a hash of it).
     component_id is the smallest doc_id (nulls aside; null if all are) that is reachable. Null and empty texts have no
     words, fingerprint zero, and are linked like any other. Rows with the same doc_id are kept as rows of their own.
     Columns of docs other than doc_id and text are left out.
     """
-    words64 = 1 if exact else NEAR_BITS // 64
-    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
-    rows = common.stored(fingerprints(docs, shingle, words64), "fingerprints")
-    classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    common.batch_rows(docs.sparkSession, common.NARROW_ROWS)
-    links = common.stored((link_exact if exact else link_near)(classes.select("fp")), "near-links")
+    spark = docs.sparkSession
+    common.batch_rows(spark, common.TEXT_ROWS)
+    rows = common.stored(fingerprints(docs, shingle) if exact else sketches(docs, shingle), "fingerprints")
+    if exact:
+        classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
+        common.batch_rows(spark, common.NARROW_ROWS)
+        links = common.stored(link_exact(classes.select("fp")), "near-links")
+    else:
+        sets, rows = rows.select("name", "members"), rows.select("doc_id", "h", F.col("name").alias("fp"), "n", "first")
+        classes = common.stored(rows.groupBy("fp", "n", "first").agg(F.min("doc_id").alias("low")), "classes")
+        common.batch_rows(spark, common.NARROW_ROWS)
+        print_of = F.substring("fp", 1, NEAR_BITS // 8)
+        near = components(common.stored(link_near(classes.select(print_of.alias("fp"), "first").distinct()), "near-candidates"))
+        placed = classes.select(F.col("fp").alias("name"), "n", print_of.alias("print")).join(near, F.col("print") == F.col("node"), "left")
+        placed = common.stored(placed.select("name", "n", F.coalesce("component", "print").alias("group")), "near-placed")
+        common.batch_rows(spark, common.TEXT_ROWS)
+        links = common.stored(link_similar(sets, placed), "near-links")
+        common.batch_rows(spark, common.NARROW_ROWS)
     member = components(links)
     lowest = member.join(classes, member.node == classes.fp).groupBy("component").agg(F.min("low").alias("component_id"))
     joined = member.join(lowest, "component").select("node", "component", "component_id")

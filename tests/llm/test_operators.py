@@ -228,6 +228,27 @@ def test_near_duplicates_of_wide_fingerprints(spark):
     assert kept == set(found.values())
 
 
+@pytest.mark.parametrize("run_sets", [2048, 3])
+def test_near_duplicates_are_those_of_the_similarity(spark, monkeypatch, run_sets):
+    """Pairs on both sides of 0.8 and chains of them, of many and of few shingles: none more and none fewer."""
+    monkeypatch.setattr(simhash.link_similar, "__defaults__", (run_sets, 2_000_000))
+    r, rows = random.Random(8), []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range([300, 120, 30, 12][g % 4])]
+        for c in range(6):
+            rows.append((100 * g + c, " ".join(base)))
+            for _ in range(max(1, len(base) * 3 // 130)):
+                base[r.randrange(len(base))] = f"n{r.randrange(10**9)}"
+    of = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = [of(t) for _, t in rows]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    group = slow_groups(len(rows), lambda i, j: i // 6 == j // 6 and share(i, j) >= 0.8)
+    beside = [share(i, i + 1) for i in range(len(rows) - 1) if i % 6 < 5]
+    assert sum(0.7 <= x < 0.8 for x in beside) > 20 and sum(0.8 <= x < 0.87 for x in beside) > 20
+    found = {x["doc_id"]: x["component_id"] for x in rows_of(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert found == {i: rows[k][0] for (i, _), k in zip(rows, group)}
+
+
 def test_deduplicate_keeps_columns_and_one_of_each(docs, none):
     out = simhash.deduplicate(docs)
     assert out.columns == docs.columns and simhash.deduplicate(none).count() == 0
