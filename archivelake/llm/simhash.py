@@ -14,8 +14,8 @@ Two ways to the keys:
 - ``link_near`` (large radius, wide fingerprints): ``TABLES`` seeded samples of ``KEY_BITS`` bits. A pair of documents with
   similarity s of their shingle sets is missed by all with probability (1 - (1 - a / pi) ** KEY_BITS) ** TABLES, a the angle
   arccos(2s / (1 + s)): 0.07 % at 0.8, less above. Few shingles scatter more, so sets of at most ``SHORT`` have further keys,
-  the lowest hashes of the set, of which two sets of the least similarity always share one. A key held by more than ``HELD``
-  distinct fingerprints is compared in runs of that length, each together with the roots of all runs before it.
+  the lowest hashes of the set, of which two sets of the least similarity always share one. The fingerprints
+  of a key held by more than ``HELD`` are dealt to runs of half that, and every two runs are compared in a task of their own.
 
 ``link_near`` only proposes: what it joins is a group of candidates. ``link_similar`` compares the shingle sets in a group, all
 with all, and only pairs of similarity ``SIMILAR`` or more become links.
@@ -205,7 +205,7 @@ def local_components(fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _compare(radius: int, words64: int, held: int):
+def _compare(radius: int, words64: int):
     """Over rows (key, fp) sorted by key: the links of each key's fingerprints, as stars."""
 
     def links(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -216,8 +216,8 @@ def _compare(radius: int, words64: int, held: int):
             yield pa.RecordBatch.from_arrays([as_bytes(fps[moved]), as_bytes(fps[label[moved]])], ["u", "v"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """Whole keys' fingerprints, small ones pooled; those of long keys in runs with the roots so far."""
-        keys, fps, roots = np.empty(0, np.int64), np.empty((0, words64), np.uint64), None
+        """Whole keys' fingerprints, small ones pooled."""
+        keys, fps = np.empty(0, np.int64), np.empty((0, words64), np.uint64)
         pool, pooled = [], 0
         for batch in batches:
             if not len(batch):
@@ -226,9 +226,6 @@ def _compare(radius: int, words64: int, held: int):
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             fps = np.concatenate([fps, np.frombuffer(flat, "<u8").reshape(-1, words64)])
             at = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-            if roots is not None and len(at) > 1:  # the long key ends here
-                yield np.concatenate([roots, fps[: at[1]]])
-                roots, keys, fps, at = None, keys[at[1] :], fps[at[1] :], at[1:] - at[1]
             sizes = np.diff(at)
             for i in np.nonzero(sizes > 1)[0]:
                 run = fps[at[i] : at[i + 1]]
@@ -241,14 +238,7 @@ def _compare(radius: int, words64: int, held: int):
                         yield np.concatenate(pool)
                         pool, pooled = [], 0
             keys, fps = keys[at[-1] :], fps[at[-1] :]
-            while len(fps) >= held:
-                run = fps[:held] if roots is None else np.concatenate([roots, fps[:held]])
-                yield run
-                roots = run[np.unique(local_components(run, radius))]
-                keys, fps = keys[held:], fps[held:]
-        if roots is not None:
-            yield np.concatenate([roots, fps])
-        elif len(fps) > 1:
+        if len(fps) > 1:
             pool.append(fps)
         if pool:
             yield np.concatenate(pool)
@@ -261,8 +251,8 @@ def _compare(radius: int, words64: int, held: int):
     return run
 
 
-def _compared(keyed: DataFrame, radius: int, words64: int, held: int) -> DataFrame:
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, words64, held), "u binary, v binary")
+def _compared(keyed: DataFrame, radius: int, words64: int) -> DataFrame:
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, words64), "u binary, v binary")
 
 
 def link_exact(fps: DataFrame) -> DataFrame:
@@ -272,7 +262,7 @@ def link_exact(fps: DataFrame) -> DataFrame:
     keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
     hot = common.stored(keyed.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot-keys")
     cold = keyed.join(common.joinable(hot), "key", "left_anti")
-    links = _compared(cold, 2, 1, HOT + 1)
+    links = _compared(cold, 2, 1)
     crowded = keyed.join(common.joinable(hot), "key", "left_semi").select("fp").distinct()
 
     near = crowded.select("fp", F.explode(F.array(F.lit(-1), *map(F.lit, range(64)))).alias("bit"))
@@ -303,7 +293,15 @@ def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR
                 owner = np.repeat(np.arange(len(more)), [len(x) // 8 for x in more])
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(more), "<i8")), some.take(pa.array(owner))], ["key", "fp"])
 
-    return _compared(fps.select("fp", "first").mapInArrow(keys, "key long, fp binary"), radius, words64, HELD)
+    keyed = fps.select("fp", "first").mapInArrow(keys, "key long, fp binary")
+    hot = keyed.groupBy("key").count().filter(F.col("count") > HELD).select("key", F.ceil(F.col("count") * 2 / HELD).cast("int").alias("runs"))
+    hot = common.stored(hot, "hot-keys")
+    if not hot.isEmpty():
+        own, others = F.pmod(F.xxhash64("fp"), F.col("runs")).cast("int"), F.expr("filter(sequence(0, coalesce(runs, 1) - 1), x -> runs is null or x <> own)")
+        dealt = keyed.join(common.joinable(hot), "key", "left").withColumn("own", own).withColumn("other", F.explode(others))
+        pair = F.when(F.col("runs").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        keyed = dealt.select(pair.alias("key"), "fp")
+    return _compared(keyed, radius, words64)
 
 
 def link_similar(sets: DataFrame, classes: DataFrame, run_sets: int = RUN_SETS, run_shingles: int = RUN_SHINGLES) -> DataFrame:

@@ -210,6 +210,23 @@ def test_bit_sliced_blocks():
         assert simhash.local_components(fps, radius).tolist() == group
 
 
+def test_candidates_of_a_hot_key(spark, monkeypatch):
+    """All fingerprints under one key, many runs of them: members of runs meet, not their roots alone."""
+    monkeypatch.setattr(simhash, "HELD", 16)
+    r, fps = random.Random(4), []
+    for _ in range(3):
+        f = r.getrandbits(256)
+        for _ in range(50):
+            fps.append(f)
+            f ^= sum(1 << b for b in r.sample(range(256), 40))
+    r.shuffle(fps)
+    frame = spark.createDataFrame([(bytearray(f.to_bytes(32, "little")), bytearray()) for f in fps], "fp binary, first binary").coalesce(1)
+    found = {bytes(x["node"]): bytes(x["component"]) for x in rows_of(components.components(simhash.link_near(frame, radius=44, tables=1, key_bits=0)))}
+    group = slow_groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 44)
+    assert len(set(group)) == 3 and len(found) == len(fps)
+    assert len({(g, found[f.to_bytes(32, "little")]) for f, g in zip(fps, group)}) == 3 == len(set(found.values()))
+
+
 def test_near_duplicates_of_wide_fingerprints(spark):
     rows, r = [], random.Random(5)
     for g in range(25):
