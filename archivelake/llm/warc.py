@@ -171,8 +171,14 @@ def write_warc(records: DataFrame, folder: str, column: str = "record") -> DataF
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: page_id, ids of the three records, links, and length and digest of the derived records."""
-    made = derivatives(responses(common.table(spark, sf_dir, "pages")))
-    field = lambda name, c: F.regexp_extract(F.decode(F.substring(c, 1, 2048), "ISO-8859-1"), rf"(?m)^{name}: (.*?)\r$", 1)
+    return described(derivatives(responses(common.table(spark, sf_dir, "pages"))))
+
+
+def described(made: DataFrame) -> DataFrame:
+    """Of what derivatives() returns: ids, links, and length and digest of the records."""
+    # the fields end at the first empty line, wherever that is
+    head = lambda c: F.concat(F.substring_index(F.decode(c, "ISO-8859-1"), "\r\n\r\n", 1), F.lit("\r\n"))
+    field = lambda name, c: F.regexp_extract(head(c), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     return made.select(
         "page_id",
         "response_id",

@@ -525,6 +525,21 @@ def test_warc(spark, tmp_path):
     assert sum(f["n_records"] for f in files) == 4 and whole.count(b"WARC/1.1\r\n") == 4
 
 
+def test_warc_query(spark, tmp_path):
+    """The query's identifiers are those of the records, behind long fields as well."""
+    pages = [(1, "http://a.example/x", "<p>one</p>\r\n\r\nWARC-Record-ID: no\r\n"), (2, None, None), (3, "http://a.example/" + "é/" * 3000, "<p>three</p>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in rows_of(warc.op8_warc_derivatives(spark, str(tmp_path)))}
+    made = rows_of(warc.derivatives(warc.responses(frame)))
+    assert len(got) == len(made) == 3
+    for r in made:
+        metadata, conversion = (warc.read_record(bytes(r[k]))[0] for k in ("metadata", "conversion"))
+        row = got[r["page_id"]]
+        assert (row["metadata_id"], row["conversion_id"], row["refers_to"]) == (metadata["warc-record-id"], conversion["warc-record-id"], conversion["warc-refers-to"])
+        assert row["refers_to"] == row["response_id"] == metadata["warc-refers-to"] and row["metadata_id"].startswith("<urn:uuid:")
+
+
 # ---------------------------------------------------------------- 9
 
 
