@@ -39,9 +39,15 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FRAME = frozenset("aside dialog footer header menu nav search".split())
 #: What a class, id or role says of a box that is not content.
 NOISE = re.compile(
-    r"(^|[-_\s])(ads?|adverts?|advertisements?|advertorial|adbox|banners?|breadcrumbs?|byline-share|comments?|comment-?(list|section|form|area)|disqus|complementary|consent|contentinfo|cookies?|cookie-?(bar|notice|banner)|disclaimer|footer|footnav|gdpr|header|hidden|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pagination|pager|popup|promos?|promotion|reader-?comments|related|replies|respond|rail|search|share|sharing|sidebars?|side-?bar|signup|skip-?link|social|sponsor(ed|s)?|subscribe|subscription|tags|teasers?|toolbar|topbar|tracking|widgets?)($|[-_\s])",
+    r"(.+[-_])?(ads?|adverts?|advertisements?|advertorial|adbox|banners?|breadcrumbs?|byline-share|comments?|comment-?(list|section|form|area)|disqus|complementary|consent|contentinfo|cookies?|cookie-?(bar|notice|banner)|disclaimer|footer|footnav|gdpr|header|hidden|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pagination|pager|popup|promos?|promotion|reader-?comments|related|replies|respond|rail|search|share|sharing|sidebars?|side-?bar|signup|skip-?link|social|sponsor(ed|s)?|subscribe|subscription|tags|teasers?|toolbar|topbar|tracking|widgets?)",
     re.I,
 )
+#: What may follow such a word in a name without a change of its meaning: share-buttons, but not social-science.
+PART = re.compile(r"(area|articles?|bar|block|body|bottom|box|btn|buttons?|col|column|container|content|desktop|entries|fixed|form|group|icons?|inner|items?|left|links?|list|main|media|mobile|nav|next|outer|panel|placeholder|posts?|previous|primary|recent|right|row|secondary|section|slot|sticky|stories|text|title|toggle|top|unit|wrap|wrapper|[\dx]+)", re.I)
+#: Names of a state of the page, such as has-sidebar and no-header, say nothing of the box.
+STATE = re.compile(r"(has|no|not|with|without|is|hide|show|supports?)[-_]", re.I)
+#: Kinds of noise: a name of headers, any other name, an attribute that hides.
+HEADER, NAMED, HIDDEN = 1, 2, 3
 CONTENT = re.compile(r"(^|[-_\s])(article|content|main|post|entry|story)($|[-_\s])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -54,12 +60,29 @@ _BEFORE_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "tbody"
 LEVELS = 64
 
 
+def noise_of(words: str) -> int:
+    """HEADER, NAMED or 0: whether one of the words of class, id and role names a box that is not content."""
+    found = 0
+    for word in words.split():
+        if STATE.match(word):
+            continue
+        while word:
+            if NOISE.fullmatch(word):
+                if not re.search(r"(^|[-_])header$", word, re.I):
+                    return NAMED
+                found = HEADER
+                break
+            at = max(word.rfind("-"), word.rfind("_"))
+            word = word[:at] if at > 0 and PART.fullmatch(word, at + 1) or at == len(word) - 1 else ""
+    return found
+
+
 class Node:
     """An element. Block elements are style nodes of their own, down to LEVELS; others belong to that of their parent."""
 
     __slots__ = ("tag", "mark", "parent", "children", "noise", "key", "level", "own")
 
-    def __init__(self, tag: str, mark: str, parent: Node | None, noise: bool):
+    def __init__(self, tag: str, mark: str, parent: Node | None, noise: int):
         self.tag, self.mark, self.parent, self.noise, self.children = tag, mark, parent, noise, []
         self.own = parent is None or tag in BLOCK and parent.level < LEVELS
         self.level = parent.level + self.own if parent else 0
@@ -68,7 +91,7 @@ class Node:
 
 def parse(page: str) -> Node:
     """The DOM of a page, as tolerant as a browser for the usual faults: missing end tags, stray ones, cut-off pages."""
-    root = Node("html", "html", None, False)
+    root = Node("html", "html", None, 0)
     at, here, end = 0, root, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -112,7 +135,9 @@ def parse(page: str) -> Node:
             if last is not None:
                 here = last.parent
         words = " ".join(said.get(k, "") for k in ("class", "id", "role"))
-        noise = "hidden" in said and not said["hidden"] or said.get("aria-hidden") == "true" or bool(words.strip() and NOISE.search(words) and not CONTENT.search(said.get("role", "")))
+        noise = 0
+        if tag not in ("html", "body", "main"):
+            noise = HIDDEN if "hidden" in said and not said["hidden"] or said.get("aria-hidden") == "true" else 0 if CONTENT.search(said.get("role", "")) else noise_of(words)
         node = Node(tag, tag + "." + ".".join(sorted(said.get("class", "").split())) if said.get("class") else tag, here, noise)
         here.children.append(node)
         if tag in VOID or m.group(3).rstrip().endswith("/") and tag not in BLOCK:
@@ -175,14 +200,15 @@ def blocks(tops: list[Node], dropped) -> list[str]:
     return out
 
 
-def mains(root: Node) -> list[Node]:
-    """The page's outermost articles; else its main parts; else its root."""
+def mains(root: Node, least: int = HEADER) -> list[Node]:
+    """The page's outermost articles; else its main parts; else its root. Those in or with noise of kind least or above don't
+    count."""
     for names in (("article",), ("main",)):
         found = []
         for node in walk(root):
             if node.tag in names:
                 ups = list(_up(node.parent))
-                if not any(x.noise or x.tag in FRAME or x.tag in SILENT or x.tag in names for x in ups) and not node.noise:
+                if not any(x.noise >= least or x.tag in FRAME or x.tag in SILENT or x.tag in names for x in ups) and node.noise < least:
                     found.append(node)
         if found:
             return found
@@ -192,11 +218,21 @@ def mains(root: Node) -> list[Node]:
 def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """The main text of a page, given the hashed style nodes of low importance of its host."""
     root = parse(page or "")
-    tops = mains(root)
+    text = _text(mains(root), root, low)
+    # a box around the whole page is no noise, whatever its name
+    return text or _text(mains(root, HIDDEN), root, low)
+
+
+def _text(tops: list[Node], root: Node, low: frozenset[int]) -> str:
     whole = tops == [root]
 
+    def headed(node: Node) -> bool:
+        return not whole and (node.tag == "header" or node.noise == HEADER) and any(x.tag in HEADINGS for x in walk(node))
+
     def dropped(node: Node) -> bool:
-        if node.noise or node.tag in FRAME and (whole or node.tag != "header" or not any(x.tag in HEADINGS for x in walk(node))):
+        if node.noise == HIDDEN or node.tag in FRAME and node.tag != "header":
+            return True
+        if (node.noise or node.tag == "header") and not headed(node):
             return True
         if not node.own or node.key not in low or node.tag in ("html", "body", "article", "main"):
             return False

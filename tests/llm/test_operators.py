@@ -580,6 +580,21 @@ def test_extract(page, text):
     assert html_extract.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body class='home has-sidebar'><div class='site no-sidebar'><article><p>a</p></article></div></body>", "a"), ("<body class='header-fixed sidebar'><div><p>a</p></div></body>", "a"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p>a</p></article>", "T\na"), ("<article><div class='article-header'><h1>T</h1></div><p>a</p></article>", "T\na"),
+        ("<article><div class='article-header'>by me</div><p>a</p></article>", "a"), ("<div class='social-science'><p>a</p></div><div class='has-header-image'><p>b</p></div>", "a\nb"),
+        ("<div id='sidebar'><main class='no-nav'><p>a</p></main></div>", "a"), ("<div class='comments-area'><article><p>c</p></article></div><div><p>a</p></div>", "a"),
+        ("<div><p>a</p></div><div class='share-buttons'>s</div><div class='site-footer'>f</div><div class='main_nav'>n</div><div id='comment-12'>c</div><div class='sidebar-right'>r</div>", "a"),
+        ("<article><header hidden><h1>T</h1></header><nav class='header'><h2>N</h2></nav><p>a</p></article>", "a"), ("<body><article class='comment'><p>c</p></article><div><p>a</p></div>", "a"),
+    ],
+)
+def test_names_of_boxes(page, text):
+    assert html_extract.extract(page) == text
+
+
 def test_site_trees(spark):
     """Boxes without a telling name are known by what the host's pages share."""
     page = lambda i: f"<html><body><div class='a1'><p>Home Shop About</p></div><div class='b2'><p>{words(30, i)}</p><p>{words(9, -i - 1)}</p></div><div class='c3'>All rights, always</div></body></html>"
