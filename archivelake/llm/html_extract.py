@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -247,10 +247,9 @@ def hashed(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def host_of(url: str | None) -> str:
+def host_of(url) -> Column:
     """The host of a URL in lower case, without user and port; '' for none (such pages share no style tree)."""
-    m = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m.group(1).lower() if m else ""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][A-Za-z0-9_+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
 def direct(node: Node) -> tuple[list[str], list[str]]:
@@ -268,18 +267,19 @@ def direct(node: Node) -> tuple[list[str], list[str]]:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """host, node, parent, kind, feature, pages: on how many pages of the host a style node has a feature. Kinds: 0 the node
-    itself, 1 a text block directly in it, 2 a sequence of children's tags."""
+    """host, node, parent, kind, feature, pages: on how many different pages of the host a style node has a feature. Kinds: 0
+    the node itself, 1 a text block directly in it, 2 a sequence of children's tags. Each of c copies of a page (the same html on
+    one host) weighs 1 / c."""
+    pages = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).filter("host <> ''").withColumn("mark", F.xxhash64("html"))
+    copies = common.stored(pages.groupBy("host", "mark").agg(F.count("*").alias("copies")).filter("copies > 1"), "page-copies")
+    pages = pages.join(common.joinable(copies), ["host", "mark"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host = host_of(url)
-                if not host:
-                    continue
+            for host, page, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 seen = set()
-                for node in walk(parse(page or "")):
+                for node in walk(parse(page)):
                     if node.tag in SILENT or not node.own:
                         continue
                     key, up = node.key, node.parent.key if node.parent else 0
@@ -289,12 +289,17 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     if text:
                         seen.add((host, key, up, 1, hashed(text)))
                     seen.add((host, key, up, 2, hashed(" ".join(marks))))
-                found.update(seen)
+                if copies == 1:
+                    found.update(seen)
+                else:
+                    for x in seen:
+                        found[x] += 1 / copies
             rows = list(zip(*found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(rows[i], pa.int64()) for i in (1, 2, 3, 4)), pa.array(list(found.values()), pa.int64())], ["host", "node", "parent", "kind", "feature", "pages"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(rows[i], pa.int64()) for i in (1, 2, 3, 4)), pa.array(list(map(float, found.values())), pa.float64())], ["host", "node", "parent", "kind", "feature", "pages"])
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, node long, parent long, kind long, feature long, pages long")
-    return rows.groupBy("host", "node", "parent", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    rows = pages.mapInArrow(run, "host string, node long, parent long, kind long, feature long, pages double")
+    # shares of copies add up to whole numbers, but for rounding
+    return rows.groupBy("host", "node", "parent", "kind", "feature").agg(F.round(F.sum("pages")).cast("long").alias("pages"))
 
 
 def low_nodes(counts: DataFrame, low: float = LOW, gamma: float = GAMMA, fewest: int = FEWEST) -> DataFrame:
@@ -334,12 +339,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages.
 
     A null or empty page has the text ''; pages without a host have no style tree and are judged by roles alone. Repeated
-    rows each count; other columns are left out.
+    rows each have a row, but copies of a page are no evidence of what its host's pages share; other columns are left out.
     """
     common.batch_rows(pages.sparkSession, common.TEXT_ROWS)
     low = common.joinable(common.stored(low_nodes(style_counts(pages)), "style-low"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][A-Za-z0-9_+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select("page_id", "url", "html", host.alias("_host")).join(low, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "low")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host")).join(low, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}

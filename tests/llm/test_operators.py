@@ -595,6 +595,16 @@ def test_names_of_boxes(page, text):
     assert html_extract.extract(page) == text
 
 
+def test_copies_of_a_page_are_one(spark):
+    """The text of a page doesn't hang on how often it stands there, under the same URL or others of its host."""
+    page = "<html><body><div class='a1'><p>one</p></div><div class='b2'><p>two</p>three</div></body></html>"
+    rows = [(i, f"https://host{n}.example/p{i % 2 * i}", page) for n in (1, 3, 4, 7, 49) for i in range(n)]
+    got = rows_of(html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)))
+    assert len(got) == len(rows) and {r["text"] for r in got} == {"one\ntwo\nthree"}
+    counts = rows_of(html_extract.style_counts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)))
+    assert {r["pages"] for r in counts} == {1}
+
+
 def test_site_trees(spark):
     """Boxes without a telling name are known by what the host's pages share."""
     page = lambda i: f"<html><body><div class='a1'><p>Home Shop About</p></div><div class='b2'><p>{words(30, i)}</p><p>{words(9, -i - 1)}</p></div><div class='c3'>All rights, always</div></body></html>"
