@@ -1,9 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints come from hashed word shingles. Equal fingerprints are one class; only distinct ones are compared, so copies
-cost nothing further. Candidates share a key; a block of candidates is compared with bit planes stored vertically (plane j
-holds bit j of 64 members in a machine word): one XOR updates 64 distances, which carry-save counters add up, and a block
-is abandoned once every counter has passed the radius. Blocks return stars of their local components, not pairs.
+cost nothing further. Candidates share a key; those of a key are compared bit-sliced (``bitslice``). Tasks return stars of
+their local components, not pairs.
 
 Two ways to the keys:
 
@@ -11,18 +10,22 @@ Two ways to the keys:
   two whole pieces, so six keys of 32 bits find every pair. A key with more than ``HOT`` distinct fingerprints goes another
   exact way: two fingerprints within 2 bits share a neighbour within 1 bit of both, at most 65 fingerprints have the same
   neighbour, so each hot fingerprint is sent to its 65 neighbours and every neighbour's few are linked.
-- ``link_near`` (large radius, wide fingerprints): ``TABLES`` seeded samples of ``KEY_BITS`` bits. A pair of documents with
-  similarity s of their shingle sets is missed by all with probability (1 - (1 - a / pi) ** KEY_BITS) ** TABLES, a the angle
-  arccos(2s / (1 + s)): 0.07 % at 0.8, less above. Few shingles scatter more, so sets of at most ``SHORT`` have further keys,
-  the lowest hashes of the set, of which two sets of the least similarity always share one. The fingerprints
-  of a key held by more than ``HELD`` are dealt to runs of half that, and every two runs are compared in a task of their own.
+- ``link_near`` (large radius, wide fingerprints): seeded samples of bits are keys, one a table. A pair of documents with
+  similarity s of their shingle sets is missed by all with probability (1 - (1 - a / pi) ** bits) ** tables, a the angle
+  arccos(2s / (1 + s)). Bits grow with the logarithm of the number of fingerprints, so a key's members do not grow with the
+  corpus, and tables with the bits, so that ``MISSED`` at 0.8 (less above) holds at every size. Few shingles scatter more, so
+  sets of at most ``SHORT`` have further keys, the lowest hashes of the set, of which two sets of the least similarity always
+  share one. The fingerprints of a key held by more than ``HELD`` are dealt to runs of half that, and every two runs are
+  compared in a task of their own.
 
 ``link_near`` only proposes: what it joins is a group of candidates. ``link_similar`` compares the shingle sets in a group, all
-with all, and only pairs of similarity ``SIMILAR`` or more become links.
+with all, and only pairs of similarity ``SIMILAR`` or more become links. A class is a node named by its smallest doc_id first,
+so the smallest node of a component carries the component's doc_id and nothing is looked up by component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,10 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .bitslice import pooled
 from .components import components
 
-HOT, POOL, HELD = 8192, 1024, 32_768
-TABLES, KEY_BITS = 96, 16
+#: Distinct fingerprints of a key from which it goes another way; members of small keys that are compared at once.
+HOT, POOL, HELD = 8192, 32_768, 32_768
+#: Pairs of the least similarity that no key finds, at most, by calculation; least bits of a key.
+MISSED, KEY_BITS = 0.0007, 16
 #: Of 256 bits: similarity 0.8 of shingle sets lets 39 differ, give or take 6; candidates may differ by four times that more.
 NEAR_BITS, NEAR_RADIUS = 256, 64
 #: Least share of common shingles among all of two sets, as a fraction. Shingles of a set that has keys of its own.
@@ -158,186 +164,146 @@ def similar_components(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def local_components(fps: np.ndarray, radius: int) -> np.ndarray:
-    """The smallest index reachable from each of fps (m x words of 64 bits) over links of at most radius bits."""
-    m, bits = len(fps), fps.shape[1] * 64
-    label, lanes = np.arange(m), -(-m // 64)
-    square = np.zeros((lanes * 64, fps.shape[1]), np.uint64)
-    square[:m] = fps
-    each = np.unpackbits(square.astype("<u8").view(np.uint8).reshape(lanes * 64, -1), axis=1, bitorder="little")
-    planes = np.packbits(each, axis=0, bitorder="little").T.copy().view("<u8").reshape(bits, lanes)
-    masks = (0 - each[:m].astype(np.uint64)).T
-    width, padding = (radius + 1).bit_length(), np.zeros(lanes * 64, np.uint8)
-    padding[m:] = 1
-    absent = np.packbits(padding, bitorder="little").view("<u8")
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    for q in range(0, m, 64):
-        rows, w = slice(q, min(q + 64, m)), q // 64
-        over = np.repeat(absent[None, w:], rows.stop - q, 0)
-        counters = [np.zeros_like(over) for _ in range(width)]
-        for j in range(bits):
-            carry = planes[j, w:][None, :] ^ masks[j, rows][:, None]
-            passed = None
-            for k in range(width):
-                counters[k], carry = counters[k] ^ carry, counters[k] & carry
-                same = counters[k] if (radius + 1) >> k & 1 else ~counters[k]
-                passed = same if passed is None else passed & same
-            over |= passed
-            if j % 8 == 7 and j > radius and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
-                break
-        else:
-            hit = np.unpackbits((~over).view(np.uint8).reshape(len(over), -1), axis=1, bitorder="little")
-            a, b = np.nonzero(hit)
-            a, b = label[a + q], label[b + w * 64]
-            apart = a != b
-            if apart.any():
-                for x, y in np.unique(np.stack([a[apart], b[apart]], 1), axis=0).tolist():
-                    x, y = root(x), root(y)
-                    label[max(x, y)] = min(x, y)
-                while (label != label[label]).any():
-                    label = label[label]
-    return label
-
-
 def _compare(radius: int, words64: int):
-    """Over rows (key, fp) sorted by key: the links of each key's fingerprints, as stars."""
+    """Over rows (key, fp, low) sorted by key: the links of each key's fingerprints, as stars."""
 
-    def links(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        label = local_components(fps, radius)
-        moved = np.nonzero((fps != fps[label]).any(axis=1))[0]  # a fingerprint may stand in a pool under several keys
+    def links(keys: np.ndarray, fps: np.ndarray, low: pa.Array) -> Iterator[pa.RecordBatch]:
+        label = pooled(keys, fps, radius)
+        moved = np.nonzero((fps != fps[label]).any(axis=1))[0]  # a fingerprint may stand under a key twice
         if len(moved):
             as_bytes = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([as_bytes(fps[moved]), as_bytes(fps[label[moved]])], ["u", "v"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """Whole keys' fingerprints, small ones pooled."""
-        keys, fps = np.empty(0, np.int64), np.empty((0, words64), np.uint64)
-        pool, pooled = [], 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            flat = b"".join(batch.column(1).to_pylist())
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, np.frombuffer(flat, "<u8").reshape(-1, words64)])
-            at = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
-            sizes = np.diff(at)
-            for i in np.nonzero(sizes > 1)[0]:
-                run = fps[at[i] : at[i + 1]]
-                if len(run) > POOL:
-                    yield run
-                else:
-                    pool.append(run)
-                    pooled += len(run)
-                    if pooled >= POOL:
-                        yield np.concatenate(pool)
-                        pool, pooled = [], 0
-            keys, fps = keys[at[-1] :], fps[at[-1] :]
-        if len(fps) > 1:
-            pool.append(fps)
-        if pool:
-            yield np.concatenate(pool)
+            to = label[moved]
+            yield pa.RecordBatch.from_arrays([as_bytes(fps[moved]), low.take(pa.array(moved)), as_bytes(fps[to]), low.take(pa.array(to))], ["u", "u_low", "v", "v_low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("simhash")
-        for block in blocks(batches):
-            yield from links(block)
+        keys, fps, lows = np.empty(0, np.int64), np.empty((0, words64), np.uint64), pa.array([], pa.int64())
+        for batch in batches:
+            keys = np.concatenate([keys, batch.column(0).to_numpy()])
+            fps = np.concatenate([fps, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, words64)])
+            lows = pa.concat_arrays([lows, batch.column(2)])
+            # whole keys; the last one may go on
+            n = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if n >= POOL:
+                yield from links(keys[:n], fps[:n], lows[:n])
+                keys, fps, lows = keys[n:], fps[n:], lows[n:]
+        if len(keys):
+            yield from links(keys, fps, lows)
 
     return run
 
 
+def node(low, fp):
+    """The node of a class: nodes are in the order of their smallest doc_id, classes without one last."""
+    return F.struct(low.isNull().alias("none"), low.alias("low"), fp.alias("fp"))
+
+
 def _compared(keyed: DataFrame, radius: int, words64: int) -> DataFrame:
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, words64), "u binary, v binary")
+    found = keyed.select("key", "fp", "low").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, words64), "u binary, u_low long, v binary, v_low long")
+    return found.select(node(F.col("u_low"), F.col("u")).alias("u"), node(F.col("v_low"), F.col("v")).alias("v"))
 
 
 def link_exact(fps: DataFrame) -> DataFrame:
-    """fps (fp: distinct 8-byte fingerprints) -> (u, v): links that join all that are connected by steps of 2 bits or fewer."""
+    """fps (fp: distinct 8-byte fingerprints, low: a smallest doc_id) -> (u, v): links between the nodes of all that are
+    connected by steps of 2 bits or fewer."""
     piece = [F.substring(F.hex("fp"), 1 + 4 * i, 4) for i in range(4)]
     keys = [F.conv(F.concat(F.lit(str(k)), piece[i], piece[j]), 16, 10).cast("long") for k, (i, j) in enumerate(combinations(range(4), 2))]
-    keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    keyed = fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "low")
     hot = common.stored(keyed.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot-keys")
-    cold = keyed.join(common.joinable(hot), "key", "left_anti")
-    links = _compared(cold, 2, 1)
-    crowded = keyed.join(common.joinable(hot), "key", "left_semi").select("fp").distinct()
+    if hot.isEmpty():
+        return _compared(keyed, 2, 1)
+    links = _compared(keyed.join(common.joinable(hot), "key", "left_anti"), 2, 1)
+    crowded = keyed.join(common.joinable(hot), "key", "left_semi").select("fp", "low").distinct()
 
-    near = crowded.select("fp", F.explode(F.array(F.lit(-1), *map(F.lit, range(64)))).alias("bit"))
+    near = crowded.select("fp", node(F.col("low"), F.col("fp")).alias("node"), F.explode(F.array(F.lit(-1), *map(F.lit, range(64)))).alias("bit"))
     byte, mask = F.expr("bit div 8"), F.expr("shiftleft(1, cast(bit % 8 as int))")
     old = F.conv(F.substring(F.hex("fp"), (byte * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     new = F.lpad(F.hex(old.bitwiseXOR(mask)), 2, "0")
     turned = F.when(F.col("bit") < 0, F.hex("fp")).otherwise(F.overlay(F.hex("fp"), new, (byte * 2 + 1).cast("int"), F.lit(2)))
-    star = near.select("fp", turned.alias("h")).withColumn("near", F.unhex("h")).groupBy("near").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+    star = near.select("node", turned.alias("h")).withColumn("near", F.unhex("h")).groupBy("near").agg(F.collect_set("node").alias("all")).filter(F.size("all") > 1)
     star = star.select(F.array_min("all").alias("v"), F.explode("all").alias("u")).filter("u <> v").select("u", "v").distinct()
     return links.unionByName(star)
 
 
-def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR_RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS, seed: int = 7) -> DataFrame:
+def keys_for(n: int) -> tuple[int, int]:
+    """The bits of a key and the number of tables for n fingerprints."""
+    bits = min(32, max(KEY_BITS, math.ceil(math.log2(max(n, 1))) - 2))
+    share, whole = SIMILAR
+    agree = (1 - math.acos(2 * share / (whole + share)) / math.pi) ** bits
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-agree))
+
+
+def link_near(fps: DataFrame, words64: int = NEAR_BITS // 64, radius: int = NEAR_RADIUS, tables: int | None = None, key_bits: int | None = None, seed: int = 7) -> DataFrame:
     """fps (fp: distinct fingerprints, first: further keys, 8 bytes each) -> (u, v): links among those within radius bits that
     share a key."""
+    if key_bits is None or tables is None:
+        key_bits, tables = keys_for(fps.count())
     random = np.random.default_rng(seed)
     chosen = [random.choice(64 * words64, key_bits, replace=False) for _ in range(tables)]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.held("simhash")
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                some = batch.column(0).slice(at, 4096)
-                each = np.unpackbits(np.frombuffer(b"".join(some.to_pylist()), np.uint8).reshape(len(some), -1), axis=1, bitorder="little").astype(np.int64)
-                found = [(np.int64(k) << 32) | (each[:, bits] << np.arange(key_bits)).sum(1) for k, bits in enumerate(chosen)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.concat_arrays([some] * tables)], ["key", "fp"])
-                more = [x.as_py() for x in batch.column(1).slice(at, 4096)]
-                owner = np.repeat(np.arange(len(more)), [len(x) // 8 for x in more])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(more), "<i8")), some.take(pa.array(owner))], ["key", "fp"])
-
-    keyed = fps.select("fp", "first").mapInArrow(keys, "key long, fp binary")
-    hot = keyed.groupBy("key").count().filter(F.col("count") > HELD).select("key", F.ceil(F.col("count") * 2 / HELD).cast("int").alias("runs"))
+    def keys(with_fp: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.held("simhash")
+            names = ["key", "fp"] if with_fp else ["key"]
+            for batch in batches:
+                for at in range(0, len(batch), 4096):
+                    some = batch.column(0).slice(at, 4096)
+                    each = np.unpackbits(np.frombuffer(b"".join(some.to_pylist()), np.uint8).reshape(len(some), -1), axis=1, bitorder="little").astype(np.int64)
+                    found = [(np.int64(k) << 32) | (each[:, bits] << np.arange(key_bits)).sum(1) for k, bits in enumerate(chosen)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.concat_arrays([some] * tables)][: len(names)], names)
+                    more = [x.as_py() for x in batch.column(1).slice(at, 4096)]
+                    owner = np.repeat(np.arange(len(more)), [len(x) // 8 for x in more])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(more), "<i8")), some.take(pa.array(owner))][: len(names)], names)
+
+        return run
+
+    fps = fps.select("fp", "first")
+    hot = fps.mapInArrow(keys(False), "key long").groupBy("key").count().filter(F.col("count") > HELD).select("key", F.ceil(F.col("count") * 2 / HELD).cast("int").alias("runs"))
     hot = common.stored(hot, "hot-keys")
+    keyed = fps.mapInArrow(keys(True), "key long, fp binary")
     if not hot.isEmpty():
         own, others = F.pmod(F.xxhash64("fp"), F.col("runs")).cast("int"), F.expr("filter(sequence(0, coalesce(runs, 1) - 1), x -> runs is null or x <> own)")
         dealt = keyed.join(common.joinable(hot), "key", "left").withColumn("own", own).withColumn("other", F.explode(others))
         pair = F.when(F.col("runs").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
         keyed = dealt.select(pair.alias("key"), "fp")
-    return _compared(keyed, radius, words64)
+    return _compared(keyed.withColumn("low", F.lit(None).cast("long")), radius, words64)
 
 
 def link_similar(sets: DataFrame, classes: DataFrame, run_sets: int = RUN_SETS, run_shingles: int = RUN_SHINGLES) -> DataFrame:
-    """sets (name, members), classes (name, n, group; a name once) -> (u, v): links between the names of similar sets of a
+    """sets (name, members), classes (name, low, n, group; a name once) -> (u, v): links between the nodes of similar sets of a
     group, as stars. A group of more than run_sets sets or run_shingles hashes is dealt to runs, and every two of them meet."""
     runs = F.ceil(F.greatest(F.count("*") / run_sets, F.sum("n") / run_shingles)).cast("int")
     groups = classes.groupBy("group").agg(F.count("*").alias("size"), runs.alias("runs")).filter("size > 1").select("group", "runs")
     groups = common.stored(groups, "near-groups")
-    crowded = common.stored(classes.join(common.joinable(groups), "group").select("name", "group", "runs"), "near-crowded")
-    once = sets.join(common.joinable(crowded), "name").groupBy("name", "group", "runs").agg(F.first("members").alias("members"))
+    crowded = common.stored(classes.join(common.joinable(groups), "group").select("name", "low", "group", "runs"), "near-crowded")
+    once = sets.join(common.joinable(crowded), "name").groupBy("name", "low", "group", "runs").agg(F.first("members").alias("members"))
     own = F.pmod(F.xxhash64("name"), F.col("runs")).cast("int")
     others = F.when(F.col("runs") <= 2, F.array(F.lit(-1))).otherwise(F.expr("filter(sequence(0, greatest(runs, 1) - 1), x -> x <> own)"))
     dealt = once.withColumn("own", own).withColumn("other", F.explode(others))
     pair = F.when(F.col("other") < 0, F.xxhash64("group")).otherwise(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
 
-    def linked(names: list[bytes], members: list[bytes]) -> Iterator[pa.RecordBatch]:
-        label = similar_components([np.frombuffer(x, "<u8") for x in members])
+    def linked(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        label = similar_components([np.frombuffer(x[2], "<u8") for x in rows])
         moved = np.nonzero(label != np.arange(len(label)))[0].tolist()
         if moved:
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in moved], pa.binary()), pa.array([names[label[i]] for i in moved], pa.binary())], ["u", "v"])
+            ends = [rows[i] for i in moved], [rows[label[i]] for i in moved]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in end], kind) for end in ends for k, kind in ((0, pa.binary()), (1, pa.int64()))], ["u", "u_low", "v", "v_low"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("simhash")
-        key, names, members = None, [], []
+        key, rows = None, []
         for batch in batches:
-            for k, name, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for k, name, low, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
                 if k != key:
-                    if len(names) > 1:
-                        yield from linked(names, members)
-                    key, names, members = k, [], []
-                names.append(name.as_py())
-                members.append(some.as_py())
-        if len(names) > 1:
-            yield from linked(names, members)
+                    if len(rows) > 1:
+                        yield from linked(rows)
+                    key, rows = k, []
+                rows.append((name.as_py(), low.as_py(), some.as_py()))
+        if len(rows) > 1:
+            yield from linked(rows)
 
-    return dealt.select(pair.alias("pair"), "name", "members").repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "u binary, v binary")
+    found = dealt.select(pair.alias("pair"), "name", "low", "members").repartition("pair").sortWithinPartitions("pair").mapInArrow(run, "u binary, u_low long, v binary, v_low long")
+    return found.select(node(F.col("u_low"), F.col("u")).alias("u"), node(F.col("v_low"), F.col("v")).alias("v"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> DataFrame:
@@ -346,32 +312,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> D
     exact: 64-bit fingerprints linked at 2 bits or fewer, all of them; otherwise sets of shingles linked at 0.8 similarity or
     more, each link checked against the sets (fp is then the set's fingerprint of 256 bits and a hash of it).
     component_id is the smallest doc_id (nulls aside; null if all are) that is reachable. Null and empty texts have no
-    words, fingerprint zero, and are linked like any other. Rows with the same doc_id are kept as rows of their own.
-    Columns of docs other than doc_id and text are left out.
+    words, fingerprint zero, and are linked like any other. Rows with the same doc_id are kept as rows of their own. An empty
+    table gives no rows. Columns of docs other than doc_id and text are left out, whatever their names.
     """
-    spark = docs.sparkSession
-    common.batch_rows(spark, common.TEXT_ROWS)
     rows = common.stored(fingerprints(docs, shingle) if exact else sketches(docs, shingle), "fingerprints")
     if exact:
         classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-        common.batch_rows(spark, common.NARROW_ROWS)
-        links = common.stored(link_exact(classes.select("fp")), "near-links")
+        links = common.stored(link_exact(classes), "near-links")
     else:
         sets, rows = rows.select("name", "members"), rows.select("doc_id", "h", F.col("name").alias("fp"), "n", "first")
         classes = common.stored(rows.groupBy("fp", "n", "first").agg(F.min("doc_id").alias("low")), "classes")
-        common.batch_rows(spark, common.NARROW_ROWS)
         print_of = F.substring("fp", 1, NEAR_BITS // 8)
         near = components(common.stored(link_near(classes.select(print_of.alias("fp"), "first").distinct()), "near-candidates"))
-        placed = classes.select(F.col("fp").alias("name"), "n", print_of.alias("print")).join(near, F.col("print") == F.col("node"), "left")
-        placed = common.stored(placed.select("name", "n", F.coalesce("component", "print").alias("group")), "near-placed")
-        common.batch_rows(spark, common.TEXT_ROWS)
+        near = near.select(F.col("node.fp").alias("_print"), F.col("component.fp").alias("group"))
+        placed = classes.select(F.col("fp").alias("name"), "low", "n", print_of.alias("print")).join(near, F.col("print") == F.col("_print"), "left")
+        placed = common.stored(placed.select("name", "low", "n", F.coalesce("group", "print").alias("group")), "near-placed")
         links = common.stored(link_similar(sets, placed), "near-links")
-        common.batch_rows(spark, common.NARROW_ROWS)
-    member = components(links)
-    lowest = member.join(classes, member.node == classes.fp).groupBy("component").agg(F.min("low").alias("component_id"))
-    joined = member.join(lowest, "component").select("node", "component", "component_id")
-    component = F.coalesce("component", "fp").alias("component")
-    of_class = classes.join(joined, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("class"), component, F.coalesce("component_id", "low").alias("component_id"))
+    member = components(links).select(F.col("node.fp").alias("_fp"), F.col("component.fp").alias("_component"), F.col("component.low").alias("_low"), F.lit(True).alias("_linked"))
+    of_class = classes.join(member, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("class"), F.coalesce("_component", "fp").alias("component"), F.when(F.col("_linked"), F.col("_low")).otherwise(F.col("low")).alias("component_id"))
     of_class = common.stored(of_class, "class-components")
     return rows.join(of_class, F.col("fp") == F.col("class")).select("doc_id", "h", "fp", "component_id", "component")
 
@@ -380,9 +338,12 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of docs of each component: that of the lowest doc_id (nulls last), then of the lowest hash of its text. Of rows
     that repeat id and text, one."""
     found = common.stored(near_duplicates(docs, shingle), "near-components")
-    name = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("h"))
-    first = found.groupBy("component").agg(F.min(name).alias("first"))
-    dropped = found.join(first, "component").filter(name != F.col("first")).select("doc_id", "h")
+    # a component's row is one with its doc_id; several only where an id (or null) is repeated
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = found.filter(own).groupBy("component").agg(F.min("h").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("component").alias("_of"), "_first")
+    first = common.stored(first, "near-repeated")
+    later = found.filter(own).join(common.joinable(first), F.col("component") == F.col("_of")).filter(F.col("h") != F.col("_first"))
+    dropped = found.filter(~own).select("doc_id", "h").unionByName(later.select("doc_id", "h"))
     dropped = common.stored(dropped.distinct(), "near-dropped").select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_is"))
     kept = docs.withColumn("__near_h", F.xxhash64("text")).join(common.joinable(dropped), F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_h") == F.col("__near_is")), "left_anti")
     if not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from archivelake.llm import chat, components, decontaminate, fm_index, hamming_search, html_extract, mixing, simhash, suffix_dedup, suffix_sort, token_output, toxicity, warc
+from archivelake.llm import bitslice, chat, components, decontaminate, fm_index, hamming_search, html_extract, mixing, simhash, suffix_dedup, suffix_sort, token_output, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, fp int, key string"
 
@@ -190,8 +190,8 @@ def test_links_of_fingerprints(spark, monkeypatch, hot):
     r = random.Random(9)
     seeds = [r.getrandbits(64) for _ in range(30)] + [0]
     fps = sorted({s ^ sum(1 << b for b in r.sample(range(64), r.choice([0, 1, 2, 3, 4]))) for s in seeds for _ in range(12)})
-    frame = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
-    found = {bytes(x["node"]): bytes(x["component"]) for x in rows_of(components.components(simhash.link_exact(frame)))}
+    frame = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")), k) for k, f in enumerate(fps)], "fp binary, low long")
+    found = {bytes(x["node"]["fp"]): bytes(x["component"]["fp"]) for x in rows_of(components.components(simhash.link_exact(frame)))}
     group = slow_groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
     for f, g in zip(fps, group):
         if group.count(g) > 1:
@@ -207,7 +207,12 @@ def test_bit_sliced_blocks():
         fps[i + 1] = fps[i] ^ np.array([1 << int(r.integers(60)), 3], np.uint64)
     for radius in (2, 3, 40):
         group = slow_groups(300, lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= radius)
-        assert simhash.local_components(fps, radius).tolist() == group
+        assert bitslice.local_components(fps, radius).tolist() == group
+    # many keys at once, small and large ones
+    keys = np.sort(r.choice([*[0] * 150, *range(1, 60)], 300))
+    for radius in (2, 40, 127):
+        group = slow_groups(300, lambda i, j: keys[i] == keys[j] and int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= radius)
+        assert bitslice.pooled(keys, fps, radius).tolist() == group
 
 
 def test_candidates_of_a_hot_key(spark, monkeypatch):
@@ -221,7 +226,7 @@ def test_candidates_of_a_hot_key(spark, monkeypatch):
             f ^= sum(1 << b for b in r.sample(range(256), 40))
     r.shuffle(fps)
     frame = spark.createDataFrame([(bytearray(f.to_bytes(32, "little")), bytearray()) for f in fps], "fp binary, first binary").coalesce(1)
-    found = {bytes(x["node"]): bytes(x["component"]) for x in rows_of(components.components(simhash.link_near(frame, radius=44, tables=1, key_bits=0)))}
+    found = {bytes(x["node"]["fp"]): bytes(x["component"]["fp"]) for x in rows_of(components.components(simhash.link_near(frame, radius=44, tables=1, key_bits=0)))}
     group = slow_groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 44)
     assert len(set(group)) == 3 and len(found) == len(fps)
     assert len({(g, found[f.to_bytes(32, "little")]) for f, g in zip(fps, group)}) == 3 == len(set(found.values()))
