@@ -7,6 +7,7 @@ import gc
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,13 +49,16 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows in a batch for Python: of whole texts, and of narrow rows (Spark's own number).
-TEXT_ROWS, NARROW_ROWS = 1000, 10_000
+#: Texts that are worked on at once. Spark bounds the batches that it hands over by bytes (64 MB by default); what Python makes
+#: of them is bounded by working on slices.
+TEXT_ROWS = 512
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Sets how many rows the plans that run from now on hand to Python at once; texts in large batches fill its memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def trim() -> None:

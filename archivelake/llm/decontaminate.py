@@ -151,7 +151,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     keep, which come last, under their names with an underscore before them.
     """
     spark = docs.sparkSession
-    common.batch_rows(spark, common.TEXT_ROWS)
     items = benchmark.select(F.col("item_id").cast("string").alias("key"), F.col("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_bytes))

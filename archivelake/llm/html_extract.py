@@ -277,7 +277,8 @@ def style_counts(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for host, page, copies in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for host, page, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                page = page.as_py()
                 seen = set()
                 for node in walk(parse(page)):
                     if node.tag in SILENT or not node.own:
@@ -341,13 +342,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null or empty page has the text ''; pages without a host have no style tree and are judged by roles alone. Repeated
     rows each have a row, but copies of a page are no evidence of what its host's pages share; other columns are left out.
     """
-    common.batch_rows(pages.sparkSession, common.TEXT_ROWS)
     low = common.joinable(common.stored(low_nodes(style_counts(pages)), "style-low"))
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host")).join(low, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for batch in batches:
+        for batch in common.pieces(batches):
             texts = []
             for page, nodes in zip(batch.column(2), batch.column(3)):
                 nodes = tuple(nodes.as_py() or ())

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 from .bitslice import pooled
 from .components import components
+from .rolling import U, mix, stretches
 
 #: Distinct fingerprints of a key from which it goes another way; members of small keys that are compared at once.
 HOT, POOL, HELD = 8192, 32_768, 32_768
@@ -49,9 +50,6 @@ SIMILAR, SHORT = (4, 5), 40
 #: Sets and shingles in a run of a large group's members; every two runs are compared in a task of their own.
 RUN_SETS, RUN_SHINGLES = 2048, 2_000_000
 
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-
-
 def shingles(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 with seed 42 of each shingle. Words are cut at ASCII white space, A-Z in lower case; fewer words than shingle are
     one."""
@@ -68,21 +66,35 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in cut), np.uint64, n)
 
 
+#: Words whose shingles are hashed at once.
+WORDS = 1 << 17
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, cut as in shingles(), by their rolling hashes; sorted."""
+    words, found = (text or "").encode("utf-8", "surrogatepass").lower().split(), []
+    for first in range(0, max(1, len(words) - shingle + 1) if words else 0, WORDS):
+        some = words[first : first + WORDS + shingle - 1]
+        ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1) - 1
+        n = max(1, len(some) - shingle + 1)
+        begins = np.concatenate([[0], ends[:-1] + 1])[:n]
+        found.append(stretches(np.frombuffer(b" ".join(some), np.uint8), begins, ends[min(shingle, len(some)) - 1 :]))
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
 def folded(h: np.ndarray, words64: int) -> bytes:
     """The fingerprint of hashes: 8 * words64 bytes, highest bit first; the last 8 from the hashes themselves, the others from
     hashes remixed from them. Without hashes all bits are 0."""
-    n, mixed = len(h), [h]
-    for k in range(1, words64):
-        x = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed.append(x ^ (x >> np.uint64(31)))
-    lanes = 8 * words64
-    counts = np.zeros((lanes, 256), np.int64)
-    for at in range(0, n, 1 << 18):
-        block = np.stack([x[at : at + (1 << 18)] for x in mixed], 1).astype("<u8").view(np.uint8).reshape(-1, lanes)
-        counts += np.bincount((block + (np.arange(lanes, dtype=np.int64) << 8)).ravel(), minlength=lanes << 8).reshape(lanes, 256)
-    return np.packbits(2 * (counts @ _BITS) > n, axis=None, bitorder="little").tobytes()[::-1]
+    counts = np.zeros(64 * words64, np.int64)
+    for at in range(0, len(h), 255 << 6):
+        some = h[at : at + (255 << 6)]
+        lanes = [some, *(mix(some + U((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)) for k in range(1, words64))]
+        bits = np.unpackbits(np.stack(lanes, 1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        # sums of 255 rows fit a byte
+        rest = len(bits) % 255
+        counts += bits[len(bits) - rest :].sum(0, np.uint8)
+        counts += bits[: len(bits) - rest].reshape(-1, 255, 64 * words64).sum(1, np.uint8).sum(0, np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").tobytes()[::-1]
 
 
 def fingerprint(text: str | None, shingle: int, words64: int) -> bytes:
@@ -96,7 +108,7 @@ def fingerprints(docs: DataFrame, shingle: int, words64: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("simhash")
-        for batch in batches:
+        for batch in common.pieces(batches):
             found = [fingerprint(x.as_py(), shingle, words64) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "h", "fp"])
 
@@ -112,10 +124,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         from xxhash import xxh64_digest
 
         common.held("simhash")
-        for batch in batches:
+        for batch in common.pieces(batches):
             names, sizes, first, members = [], [], [], []
             for x in batch.column(2):
-                each = np.unique(shingles(x.as_py(), shingle))
+                each = shingle_set(x.as_py(), shingle)
                 raw, n = each.astype("<u8").tobytes(), len(each)
                 names.append(folded(each, NEAR_BITS // 64) + xxh64_digest(raw))
                 sizes.append(n)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .rolling import BYTE, U, mix, powers
 from .suffix_sort import deep_shallow
 
 WIDTH, PIECE = 100, 24
@@ -38,29 +39,6 @@ SEGMENT, BATCH, CHUNK, HOT = 1 << 21, 1 << 22, 40_000, 40_000
 #: Kinds of surroundings from which a piece's groups are cut by ranges of offsets, and their number.
 WARM, RANGES = 500, 4
 
-_U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=_U) * _BASE)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of an odd base and of its inverse modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        for k, base in enumerate((_BASE, _U(inverse))):
-            _powers[k] = np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, base, _U)]), dtype=_U)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
     """best of each run of width values, from running bests of blocks in both directions."""
     n = len(x)
@@ -79,19 +57,19 @@ def anchors(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarr
     if n < WIDTH:
         return none, none, none
     up, down = powers(n + 1)
-    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[raw] * up[:n], dtype=_U)])
-    piece = _mix((total[PIECE:] - total[:-PIECE]) * down[: n - PIECE + 1])
+    total = np.concatenate([[U(0)], np.cumsum(BYTE[raw] * up[:n], dtype=U)])
+    piece = mix((total[PIECE:] - total[:-PIECE]) * down[: n - PIECE + 1])
     piece[piece == 0] = 1
     least = sliding(np.minimum, piece, SPAN)  # of the pieces in the window that starts here
     edge = np.zeros(len(least) + 1, np.int64)
     np.add.at(edge, np.minimum(first, len(least)), 1)
     np.add.at(edge, np.minimum(np.maximum(first, last), len(least)), -1)
     least[np.cumsum(edge[:-1]) == 0] = 0
-    pad = np.zeros(REACH, _U)
+    pad = np.zeros(REACH, U)
     at = np.nonzero(sliding(np.maximum, np.concatenate([pad, least, pad]), SPAN)[: len(piece)] == piece)[0]
     of = np.searchsorted(begin, at, "right") - 1
     left, right = np.maximum(at - REACH, begin[of]), np.minimum(at + WIDTH, end[of])
-    around = _mix((total[right] - total[left]) * down[left] + _mix((((at - left) << 8) | (right - at)).astype(_U)))
+    around = mix((total[right] - total[left]) * down[left] + mix((((at - left) << 8) | (right - at)).astype(U)))
     return at, piece[at].view(np.int64), around.view(np.int64)
 
 
@@ -326,7 +304,6 @@ def remove_repeats(docs: DataFrame, keep: bool = True, hot: int = HOT) -> DataFr
     A null text is empty. A row with the id of another comes later if its text's hash is greater; rows that repeat id and text
     count as one after the other. A null id comes before all others. Other columns of docs are left out.
     """
-    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     docs = _keyed(docs)
     rows = docs.select("key", "text").mapInArrow(_anchor_rows, "part long, piece long, around long, key long, at int, kind int")
     order = [F.desc("kind"), "piece", "around", "key", "at"]

@@ -131,7 +131,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 )
                 start += int(ends[-1])
 
-    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     order = [F.col("doc_id"), F.xxhash64("text")]
     (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -92,7 +92,7 @@ def features_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("toxicity")
         known = Features()
-        for batch in batches:
+        for batch in common.pieces(batches):
             found = [np.array(sorted(known.of(x.as_py())), np.int32).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2), batch.column(3)], ["doc_id", "f", "toxic", "unlabelled"])
 
@@ -174,7 +174,6 @@ def remainder(folds: int = 5):
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Classifier:
     """From rows outside the held-out fold alone. Null labels are no labels; an id with both labels is toxic."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     prior = known.agg(F.avg("toxic")).first()[0]
     toxic = sample(known.filter("toxic = 1"), positives, seed).withColumn("toxic", F.lit(True))
     others = sample(docs.filter(F.col("doc_id").isNotNull() & (remainder() != 0)), unlabelled, seed + 1).withColumn("unlabelled", F.lit(True))
@@ -191,7 +190,6 @@ def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc
     """The columns keep of docs with score (0 to 1, higher: toxic likelier; of empty and null texts too) and predicted (1
     from 0.5 on)."""
     held = docs.sparkSession.sparkContext.broadcast(classifier)
-    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     shown = docs.select(*keep, F.col("text").alias("_text"))
     schema = shown.drop("_text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
@@ -208,7 +206,6 @@ def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc
 
 def clean(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """The rows of docs, with all their columns, whose texts score below 0.5."""
-    common.batch_rows(docs.sparkSession, common.TEXT_ROWS)
     held, at = docs.sparkSession.sparkContext.broadcast(classifier), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

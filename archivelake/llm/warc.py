@@ -124,7 +124,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id, url and record, a WARC response of each row of pages; a null page is empty, a null url ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches, 128):
             made = [response_record(*x, date) for x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["page_id", "url", "record"])
 
@@ -136,11 +136,9 @@ def derivatives(records: DataFrame, key: str = "page_id") -> DataFrame:
     Repeated rows each give records (with the same ids if the response's id is the same)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                some = batch.slice(at, 128)
-                made = [derive(x.as_py()) for x in some.column(1)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0].get("warc-record-id", "") for x in made]), pa.array([x[1] for x in made], pa.binary()), pa.array([x[2] for x in made], pa.binary()), pa.array([x[3] for x in made], pa.int64())], [key, "response_id", "metadata", "conversion", "n_links"])
+        for some in common.pieces(batches, 128):
+            made = [derive(x.as_py()) for x in some.column(1)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x[0].get("warc-record-id", "") for x in made]), pa.array([x[1] for x in made], pa.binary()), pa.array([x[2] for x in made], pa.binary()), pa.array([x[3] for x in made], pa.int64())], [key, "response_id", "metadata", "conversion", "n_links"])
 
     return records.select(F.col(key).cast("long"), "record").filter(F.col("record").isNotNull()).mapInArrow(run, f"{key} long, response_id string, metadata binary, conversion binary, n_links long")
 
