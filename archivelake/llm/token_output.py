@@ -85,20 +85,23 @@ class Encoder:
     A byte-level BPE never joins across a single white-space character between two others that are not: its pattern starts
     a new piece at a space, and before and after a line end. Nor does it join a letter to the punctuation that ends a word.
     So a text is cut there, and each distinct word (with its space) goes through the tokenizer once. A text with any other
-    white space next to a space or a line end goes through whole.
+    white space next to a space or a line end goes through whole, and so does one with the string of an added token, such as
+    <|endoftext|>, in which the library sees that token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.first = Words(tokenizer, "")
         self.later = Words(tokenizer, " ", self.first)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.first.whole(text)
         head, _, rest = text.partition(" ")
         try:
             ids = [self.first[head]]
@@ -187,4 +190,6 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each row of documents, from the files: nulls, repeated ids, empty tables and further
+    columns as in ``write_token_files``."""
     return encode_documents(common.table(spark, sf_dir, "documents"))
