@@ -5,10 +5,12 @@ importance is that of its text blocks: 1 - H, where H is the entropy of the bloc
 the base of their number (a block in each page: importance 0; in one alone: 1). Its presentation importance is the entropy
 of the children's tag sequences seen under it. An element's composite importance joins both, the content of all below it
 weighing ``GAMMA`` ** (kinds of children) as in the style-tree model. Branches whose importance is below ``LOW`` are removed
-from each page. What no host's statistics can show (a host of few pages) is decided by the elements' roles: navigation,
-header, footer, aside, form, dialog, script, style and boxes that class, id or role name as such. If a page marks articles
-or a main part, its text is what remains in those; there a branch of the site's frame can't be mistaken for content, so
-statistics only remove branches within it that hold no heading or paragraph. Inline elements are never branches.
+from each page, within an article or main part as well, paragraphs included; only the page's own landmarks (html, body,
+article, main) and headings outside such a branch stay. What no host's statistics can show (a host of few pages, boxes that
+say something else on each page) is decided by the elements' roles: navigation, header, footer, aside, form, dialog, script,
+style and boxes that class, id or role name as such. If a page marks articles or a main part, its text is what remains in
+those. A form or a box named for the page's layout that holds the article, main part or first heading is a wrapper and no
+noise. Inline elements are never branches.
 
 Two passes over the pages: the first emits, pre-aggregated in each batch, hashed (host, node, block) counts, whose sums do
 not depend on how a host's pages are dealt; the second reads each host's list of removed nodes. Pages are never grouped by
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LOW, GAMMA, FEWEST = 0.3, 0.9, 4
+#: Low nodes of all hosts that are sent to every executor at the utmost.
+BROADCAST_NODES = 500_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -48,15 +52,17 @@ PART = re.compile(r"(area|articles?|bar|block|body|bottom|box|btn|buttons?|col|c
 STATE = re.compile(r"(has|no|not|with|without|is|hide|show|supports?)[-_]", re.I)
 #: Kinds of noise: a name of headers, any other name, an attribute that hides.
 HEADER, NAMED, HIDDEN = 1, 2, 3
+#: Names that themes also give to what lies around the whole page; such a box with the article, main part or h1 is a wrapper.
+LAYOUT = re.compile(r"(^|[-_])(sidebars?|side-?bar|nav|navbar|header|footer|banner|menu|overlay|widgets?|toolbar|topbar|hidden|ads?|tags|cookies?|search|social)($|[-_])", re.I)
 CONTENT = re.compile(r"(^|[-_\s])(article|content|main|post|entry|story)($|[-_\s])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<]*\Z|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: An opening tag ends open elements of these names, up to one of the bounds.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BEFORE_P = BLOCK - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "tbody", "thead", "tfoot", "option", "optgroup", "caption"}
 
 
-#: Levels of style nodes; what is nested deeper belongs to the node of that level.
+#: Levels of style nodes. What is nested deeper belongs to the node of that level: its text counts there and goes or stays with it.
 LEVELS = 64
 
 
@@ -80,10 +86,10 @@ def noise_of(words: str) -> int:
 class Node:
     """An element. Block elements are style nodes of their own, down to LEVELS; others belong to that of their parent."""
 
-    __slots__ = ("tag", "mark", "parent", "children", "noise", "key", "level", "own")
+    __slots__ = ("tag", "mark", "parent", "children", "noise", "layout", "key", "level", "own")
 
-    def __init__(self, tag: str, mark: str, parent: Node | None, noise: int):
-        self.tag, self.mark, self.parent, self.noise, self.children = tag, mark, parent, noise, []
+    def __init__(self, tag: str, mark: str, parent: Node | None, noise: int, layout: bool = False):
+        self.tag, self.mark, self.parent, self.noise, self.layout, self.children = tag, mark, parent, noise, layout, []
         self.own = parent is None or tag in BLOCK and parent.level < LEVELS
         self.level = parent.level + self.own if parent else 0
         self.key = hashed(f"{parent.key}/{mark}" if parent else mark) if self.own else parent.key
@@ -137,8 +143,8 @@ def parse(page: str) -> Node:
         words = " ".join(said.get(k, "") for k in ("class", "id", "role"))
         noise = 0
         if tag not in ("html", "body", "main"):
-            noise = HIDDEN if "hidden" in said and not said["hidden"] or said.get("aria-hidden") == "true" else 0 if CONTENT.search(said.get("role", "")) else noise_of(words)
-        node = Node(tag, tag + "." + ".".join(sorted(said.get("class", "").split())) if said.get("class") else tag, here, noise)
+            noise = HIDDEN if "hidden" in said and not said["hidden"] or said.get("aria-hidden") == "true" else 0 if tag in HEADINGS or CONTENT.search(said.get("role", "")) else noise_of(words)
+        node = Node(tag, tag + "." + ".".join(sorted(said.get("class", "").split())) if said.get("class") else tag, here, noise, noise == NAMED and bool(LAYOUT.search(words.replace(" ", "-"))))
         here.children.append(node)
         if tag in VOID or m.group(3).rstrip().endswith("/") and tag not in BLOCK:
             continue
@@ -147,9 +153,22 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
             continue
         here = node
+    _unwrap(root)
     return root
 
 
+def _unwrap(root: Node) -> None:
+    """Clears the marks of forms and layout boxes that hold the article, the main part or an h1: wrappers of the whole page."""
+    for node in walk(root):
+        landmark = node.tag in ("article", "main") and not node.noise or node.tag == "h1"
+        if landmark and not any(x.noise == NAMED and not x.layout for x in _up(node.parent)):
+            for x in _up(node.parent):
+                if x.tag == "form":
+                    x.tag = "div"
+                elif x.noise == NAMED and x.tag not in FRAME:
+                    x.noise = 0
+
+
 def _up(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node
@@ -234,9 +253,8 @@ def _text(tops: list[Node], root: Node, low: frozenset[int]) -> str:
             return True
         if (node.noise or node.tag == "header") and not headed(node):
             return True
-        if not node.own or node.key not in low or node.tag in ("html", "body", "article", "main"):
-            return False
-        return whole or not any(x.tag == "p" or x.tag in HEADINGS for x in walk(node))
+        # a heading by itself may well be the same on each page of a site; in a branch that is, it goes with it
+        return node.own and node.key in low and node.tag not in ("html", "body", "article", "main") and node.tag not in HEADINGS
 
     return "\n".join(blocks(tops, dropped))
 
@@ -341,8 +359,12 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page has the text ''; pages without a host have no style tree and are judged by roles alone. Repeated
     rows each have a row, but copies of a page are no evidence of what its host's pages share; other columns are left out.
+    An empty table gives no rows. Ties don't arise: a node of exactly the importance LOW stays.
     """
-    low = common.joinable(common.stored(low_nodes(style_counts(pages)), "style-low"))
+    low = common.stored(low_nodes(style_counts(pages)), "style-low")
+    # the broadcast is bounded by the nodes in it, 8 bytes each; beyond that pages are joined by host, whose skew Spark splits
+    nodes = low.agg(F.coalesce(F.sum(F.size("low") + 1), F.lit(0))).first()[0]
+    low = F.broadcast(low) if nodes <= BROADCAST_NODES else low
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host")).join(low, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,4 +384,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of each row of pages; nulls, repeated rows, long and deep pages as in ``main_text``."""
     return main_text(common.table(spark, sf_dir, "pages"))

@@ -602,6 +602,19 @@ def test_names_of_boxes(page, text):
     assert html_extract.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body id='header-fixed'><p>a</p></body>", "a"), ("<article class='post no-comments'><p>a</p></article>", "a"), ("<h1 class='entry-header'>T</h1><p class='search-term'>a</p><div class='social-policy'>b</div>", "T\na\nb"),
+        ("<body><form action=/x><input value=v><article><h1>T</h1><p>a</p></article><select><option>o</select></form>", "T\na"), ("<form><h1>T</h1><p>a</p></form>", "T\na"), ("<form><p>mail</p></form><p>a</p>", "a"),
+        ("<p title=it's>a</p><p title=\"x>y\">b</p><p title = '>'>c</p>", "a\nb\nc"), ("<div class='content-sidebar-wrap'><main><p>a</p></main><aside>z</aside></div>", "a"),
+        ("<div class='comments'><article><h1>c</h1></article></div><div><h1>T</h1><p>a</p></div>", "T\na"), ("<p>a</p>" + "<div x='1' " * 3000, "a"), ("<div>" * 3000 + "<p>a</p>", "a"), ("<p>" + "long text " * 100_000 + "</p>", "long text " * 99_999 + "long text"),
+    ],
+)
+def test_wrappers_and_odd_markup(page, text):
+    assert html_extract.extract(page) == text
+
+
 def test_copies_of_a_page_are_one(spark):
     """The text of a page doesn't hang on how often it stands there, under the same URL or others of its host."""
     page = "<html><body><div class='a1'><p>one</p></div><div class='b2'><p>two</p>three</div></body></html>"
@@ -612,6 +625,62 @@ def test_copies_of_a_page_are_one(spark):
     assert {r["pages"] for r in counts} == {1}
 
 
+def test_importance_is_that_of_the_model(spark):
+    """Composite importance against a plain computation over the merged trees of a host's pages."""
+    r = random.Random(6)
+
+    def page(i):
+        side = "".join(f"<li>{x}</li>" for x in ("home", "shop", "about")[: r.choice([2, 3])])
+        more = f"<div class='m'><h2>{r.choice(['one', 'two'])}</h2><p>{words(5, i)}</p></div>" if i % 3 else ""
+        return f"<html><body><div class='s'><ul>{side}</ul></div><div class='b'><p>{words(9, i)}</p><p>{r.choice(['same', words(4, i)])}</p>{more}</div><div class='f'><div>{'x' if i % 5 else 'y'}</div></div></body></html>"
+
+    pages = [page(i) for i in range(12)]
+    seen, blocks_of, kinds_of, kids = Counter(), defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text in pages:
+        features = defaultdict(lambda: (set(), set()))
+        for node in html_extract.walk(html_extract.parse(text)):
+            texts, marks = html_extract.direct(node)
+            own = " ".join("".join(texts).split())
+            features[node.key][0].update([own] if own else [])
+            features[node.key][1].add(" ".join(marks))
+            if node.parent:
+                kids[node.parent.key].add(node.key)
+        for key, (own, marks) in features.items():
+            seen[key] += 1
+            blocks_of[key].update(own)
+            kinds_of[key].update(marks)
+
+    def content(key):
+        m = seen[key]
+        entropy = lambda n: -sum(1 / n * math.log(1 / n, m) for _ in range(n)) if m > 1 else 0
+        total, n = sum(1 - entropy(c) for c in blocks_of[key].values()), len(blocks_of[key])
+        for k in kids[key]:
+            a, b = content(k)
+            total, n = total + a, n + b
+        return total, n
+
+    low = set()
+    for key, m in seen.items():
+        total, n = content(key)
+        shown = -sum(c / m * math.log(c / m, m) for c in kinds_of[key].values()) if m > 1 else 1
+        weight = html_extract.GAMMA ** len(kinds_of[key])
+        if n and m >= html_extract.FEWEST and (1 - weight) * min(shown, 1) + weight * total / n < html_extract.LOW:
+            low.add(key)
+    frame = spark.createDataFrame([(i, f"http://one.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    (row,) = rows_of(html_extract.low_nodes(html_extract.style_counts(frame)))
+    assert row["host"] == "one.example" and set(row["low"]) == low and len(low) >= 3
+
+
+def test_what_a_site_repeats_goes_from_its_articles(spark):
+    """Boxes and marked paragraphs that all pages of a host share, in the article itself; headings and unmarked text stay."""
+    page = lambda i: f"<body><article><h1>{words(4, i)}</h1><h2>Method</h2><p>{words(30, i)}</p><p class='k9'>Read more of our fine stories.</p><div class='q7'><h3>Join</h3><p>Join our club today.</p></div><p>{words(20, -i)}</p></article></body>"
+    rows = [(i, f"https://site.example/{i}", page(i)) for i in range(9)] + [(50, "https://lone.example/", page(3))]
+    got = {r["page_id"]: r["text"] for r in rows_of(html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    for i in range(9):
+        assert got[i] == "\n".join([words(4, i), "Method", words(30, i), words(20, -i)])
+    assert "Join our club today." in got[50]
+
+
 def test_site_trees(spark):
     """Boxes without a telling name are known by what the host's pages share."""
     page = lambda i: f"<html><body><div class='a1'><p>Home Shop About</p></div><div class='b2'><p>{words(30, i)}</p><p>{words(9, -i - 1)}</p></div><div class='c3'>All rights, always</div></body></html>"
