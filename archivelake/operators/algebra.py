@@ -9,15 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs, paths
-from ..schema import DirectoryNotEmpty, EntryExists, EntryNotFound, IsADirectory, NotADirectory
+from ..schema import DirectoryNotEmpty, EntryExists, EntryNotFound, IsADirectory, MergeConflict, NotADirectory
 from . import layout, stats
 
 
-def conflicts(source_files: DataFrame, source_dirs: DataFrame, files: DataFrame, dirs: DataFrame) -> DataFrame:
-    """kind and path of what keeps a source from being merged: a file where the other side has a directory."""
-    a = source_files.select("path").join(dirs.select("path"), "path", "left_semi").select(F.lit("file over directory").alias("kind"), "path")
-    b = source_dirs.select("path").join(files.select("path"), "path", "left_semi").select(F.lit("directory over file").alias("kind"), "path")
-    return a.unionByName(b)
+def conflicts(source_files: DataFrame, source_dirs: DataFrame, files: DataFrame, dirs: DataFrame, prefix: str = "") -> DataFrame:
+    """kind and path of what keeps a source from being merged: a file where the other side has a directory, and a prefix that
+    is a file or lies below one."""
+    moved = paths.with_prefix(F.col("path"), prefix).alias("path")
+    a = source_files.select(moved).join(dirs.select("path"), "path", "left_semi").select(F.lit("file over directory").alias("kind"), "path")
+    b = source_dirs.select(moved).filter("path <> ''").join(files.select("path"), "path", "left_semi").select(F.lit("directory over file").alias("kind"), "path")
+    above = paths.ancestors_of(paths.normalize(prefix))[1:] if prefix else []
+    c = files.filter(F.col("path").isin(above)).select(F.lit("file over prefix").alias("kind"), "path")
+    return a.unionByName(b).unionByName(c)
+
+
+def check_conflicts(source_files: DataFrame, source_dirs: DataFrame, files: DataFrame, dirs: DataFrame, prefix: str = "") -> None:
+    """An action: fails if a source can't be merged."""
+    if row := conflicts(source_files, source_dirs, files, dirs, prefix).orderBy("kind", "path").first():
+        raise MergeConflict(f"{row[0]}: {row[1]}")
 
 
 def check_new(files: DataFrame, dirs: DataFrame, new: DataFrame, exist_ok: bool = False) -> DataFrame:
@@ -52,8 +62,11 @@ def merge_files(files: DataFrame, source: DataFrame, limit: int, prefix: str = "
     return files.unionByName(layout.append(files, source.join(files.select("path"), "path", "left_anti"), limit).select(*files.columns))
 
 
-def merge_indexes(files: DataFrame, source: DataFrame, prefix: str = "") -> DataFrame:
-    """files and those of source, whose shards are numbered on and not copied."""
+def merge_indexes(files: DataFrame, source: DataFrame, prefix: str = "", ignore_duplicates: bool = True) -> DataFrame:
+    """files and those of source, whose shards are numbered on and not copied. Of paths that both have, the target's stays; with
+    ignore_duplicates off they are an error (then an action)."""
+    if not ignore_duplicates and (row := prefixed(source.select("path"), prefix).join(files.select("path"), "path", "left_semi").first()):
+        raise EntryExists(row[0])
     used = files.agg(F.coalesce(F.max("shard"), F.lit(-1)).alias("_used"))
     moved = prefixed(source, prefix).crossJoin(F.broadcast(used))  # one row
     moved = moved.withColumn("shard", (F.col("shard") + F.col("_used") + 1).cast("int")).drop("_used")

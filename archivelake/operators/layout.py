@@ -1,11 +1,14 @@
 """Where files lie in shards: gaps, runs, placement, defragmentation.
 
 Running totals over all files are taken in two steps, so no task sees all rows: rows are range-partitioned in their order, sums
-of the parts are carried over (one row a part), and each part adds up its own rows.
+of the parts are carried over (one row a part), and each part adds up its own rows. Placement stores its rows once and lays
+chunks of them out side by side; the driver holds a row a part and a row a shard.
 """
 
 from __future__ import annotations
 
+import bisect
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NO_LIMIT, FileTooLarge
+from ..sources import stores
 
 
 def in_parts(rows: DataFrame, order: list[str], unique: str = "path") -> DataFrame:
@@ -33,46 +37,130 @@ def running(parts: DataFrame, order: list[str], value: Column, name: str, unique
     return out.withColumn(name, join).drop("_within", "_before")
 
 
-def shard_starts(parts: DataFrame, order: list[str], limit: int, unique: str = "path") -> list[tuple[int, int]]:
-    """The number of the first file of each shard and the bytes before it, by next-fit. An action: sizes stream through the
-    driver a partition at a time (8 bytes a file), in which each shard costs one binary search; the result has a row a shard."""
+#: Files that one task lays out by itself, and bytes of a task's files, in shards, beyond that.
+ALONE, CHUNK = 1_000_000, 16
+#: Shards up to which each end is looked up by itself where there are more files than that.
+FEW = 64
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def laid_out(files: DataFrame, order: list[str], unique: str = "path") -> tuple[DataFrame, int, int]:
+    """files as a stored table with _part, _number (from 1, in this order) and _end (bytes up to and with it), both counted
+    within the part; with them _parts, how much stands before each part, as columns _n0 and _e0. Also the number of files and
+    bytes. An action."""
+    names = files.columns
+    schema = files.withColumns({"_part": F.lit(0), "_number": F.lit(0).cast("long"), "_end": F.lit(0).cast("long")}).schema
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number, end = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary())], ["sizes"])
-
-    sizes = parts.sortWithinPartitions(*order, unique).select(F.coalesce("size", F.lit(0)).alias("size")).mapInArrow(pack, "sizes binary")
-    starts, number, total, base = [(0, 0)], 0, 0, 0
-    for (packed,) in sizes.toLocalIterator():
-        ends = total + np.cumsum(np.frombuffer(packed, "<i8"))
-        while True:
-            i = int(np.searchsorted(ends, base + limit, "right"))
-            if i == len(ends):
-                break
-            base = int(ends[i - 1]) if i else total
-            starts.append((number + i, base))
-        number, total = number + len(ends), int(ends[-1])
-    return starts
+            size = batch.column(names.index("size")).fill_null(0).cast(pa.int64()).to_numpy()
+            ends = end + np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(number + 1 + np.arange(len(batch))), pa.array(ends)], [*names, "_part", "_number", "_end"])
+            if len(batch):
+                number, end = number + len(batch), int(ends[-1])
+
+    rows = stores.stored(files.repartitionByRange(*order, unique).sortWithinPartitions(*order, unique).mapInArrow(count, schema), "laid-out")
+    held = rows.groupBy("_part").agg(F.max("_number").alias("n"), F.max("_end").alias("e")).orderBy("_part").collect()  # a row a part
+    before, n, e = [], 0, 0
+    for part, more, size in held:
+        before.append((part, n, e))
+        n, e = n + more, e + size
+    parts = files.sparkSession.createDataFrame(before, "_part int, _n0 long, _e0 long")
+    rows = rows.join(F.broadcast(parts), "_part").withColumns({"_number": F.col("_number") + F.col("_n0"), "_end": F.col("_end") + F.col("_e0")})
+    return rows.drop("_part", "_n0", "_e0"), n, e
+
+
+def _first_beyond(rows: DataFrame, base: int, limit: int) -> tuple[int, int] | None:
+    """Number and start of the first file that ends more than limit behind base."""
+    found = rows.filter(F.col("_end") > base + limit).agg(F.min(F.struct("_number", (F.col("_end") - F.coalesce("size", F.lit(0))).alias("at")))).first()[0]
+    return tuple(found) if found else None
+
+
+def shard_starts(rows: DataFrame, n: int, total: int, limit: int) -> list[tuple[int, int]]:
+    """The number of the first file of each shard and the bytes before it, by next-fit, for rows of laid_out(). An action; the
+    result has a row a shard.
+
+    Where a shard ends depends on where it began, so parts of the order can't be laid out by themselves; but two layouts that
+    begin elsewhere soon meet in a common shard start. Each chunk of CHUNK shards' bytes is laid out in a task of its own from a
+    guess of its first shard's start, and again where the chunk before it ended otherwise, until none did."""
+    if total <= limit:
+        return [(1, 0)]
+    if n > ALONE and total <= FEW * limit:
+        starts = [(1, 0)]
+        while (found := _first_beyond(rows, starts[-1][1], limit)) is not None:
+            starts.append(found)
+        return starts
+    chunk = F.lit(0) if n <= ALONE else F.expr(f"(_end - coalesce(size, 0)) div {CHUNK * limit}")
+    thin = rows.select(chunk.cast("long").alias("chunk"), "_number", "_end", F.coalesce("size", F.lit(0)).alias("size"))
+
+    def lay(entries: dict[int, int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, base, out = None, 0, []
+            for batch in batches:
+                of, number, end, size = (batch.column(i).to_numpy() for i in range(4))
+                cuts = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(of)] if len(of) else [0]
+                for a, b in zip(cuts, cuts[1:]):
+                    if of[a] != now:
+                        now, base = int(of[a]), entries.get(int(of[a]), int(end[a] - size[a]))
+                    while (i := a + int(np.searchsorted(end[a:b], base + limit, "right"))) < b:
+                        base = int(end[i] - size[i])
+                        out.append((now, int(number[i]), base))
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["chunk", "number", "base"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["chunk", "number", "base"])
+
+        return run
+
+    def laid(which: DataFrame, entries: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+        dealt = which.coalesce(1) if n <= ALONE else which.repartition("chunk")
+        found = dealt.sortWithinPartitions("chunk", "_number").mapInArrow(lay(entries), "chunk long, number long, base long").collect()  # a row a shard
+        out: dict[int, list[tuple[int, int]]] = {}
+        for c, number, base in sorted(found):
+            out.setdefault(c, []).append((number, base))
+        return out
+
+    chunks = [0] if n <= ALONE else [r[0] for r in thin.select("chunk").distinct().orderBy("chunk").collect()]
+    if n > ALONE:
+        thin = stores.stored(thin, "layout")
+    entries: dict[int, int] = {chunks[0]: 0}
+    made, todo = {}, chunks
+    while todo:
+        made |= {c: [] for c in todo} | laid(thin if len(todo) == len(chunks) else thin.filter(F.col("chunk").isin(todo)), entries)
+        base, todo = 0, []
+        for c in chunks:
+            if c not in entries or entries[c] != base:
+                entries[c] = base
+                todo.append(c)
+            base = made[c][-1][1] if made[c] else base
+        # the first chunk began right; what follows it is laid out again only where its beginning changed
+        todo = [c for c in todo if c != chunks[0]]
+    return [(1, 0), *(x for c in chunks for x in made[c])]
 
 
 def place(files: DataFrame, limit: int, order: list[str], unique: str = "path") -> DataFrame:
     """files with new_shard and new_offset by next-fit in this order: a file goes after the one before it unless it would end
-    beyond limit; then it starts a new shard. A file above limit is an error."""
-    over = files.filter(F.col("size") > limit).select("path", "size").first()
-    if over:
+    beyond limit; then it starts a new shard. A file above limit is an error. An action: files is read once and stored."""
+    names = files.columns
+    rows, n, total = laid_out(files, order, unique)
+    if total > limit and (over := rows.filter(F.col("size") > limit).select(unique, "size").first()):
         raise FileTooLarge(f"{over[0]} has {over[1]} bytes; a shard holds {limit}")
-    parts = in_parts(files, order, unique)
-    if limit >= NO_LIMIT:
-        rows = running(parts, order, F.col("size"), "_end", unique)
-        return rows.withColumns({"new_shard": F.lit(0), "new_offset": F.col("_end") - F.coalesce("size", F.lit(0))}).drop("_end", "_part")
-    starts = shard_starts(parts, order, limit, unique)
-    rows = running(running(parts, order, F.lit(1), "_number", unique), order, F.coalesce("size", F.lit(0)), "_end", unique)
-    # a shard's first file is found by its number; the shard and its base are running maxima of that mark
-    firsts = files.sparkSession.createDataFrame([(n + 1, s, b) for s, (n, b) in enumerate(starts)], "_number long, _shard int, _base long")
-    rows = rows.join(F.broadcast(firsts) if len(starts) <= 100_000 else firsts, "_number", "left")
-    rows = running(running(rows, order, F.col("_shard"), "new_shard", unique, best=True), order, F.col("_base"), "_from", unique, best=True)
-    rows = rows.withColumn("new_offset", F.col("_end") - F.coalesce("size", F.lit(0)) - F.col("_from"))
-    return rows.drop("_number", "_end", "_shard", "_base", "_from", "_part")
+    at = F.col("_end") - F.coalesce("size", F.lit(0))
+    starts = shard_starts(rows, n, total, limit)
+    if len(starts) == 1:
+        return rows.select(*names, F.lit(0).alias("new_shard"), at.alias("new_offset"))
+    firsts, bases = (np.array(x, np.int64) for x in zip(*starts))
+    schema = rows.withColumns({"new_shard": F.lit(0), "new_offset": F.lit(0).cast("long")}).drop("_number", "_end").schema
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.searchsorted(firsts, batch.column("_number").to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(shard.astype(np.int32)), pa.array(batch.column("_at").to_numpy() - bases[shard])], schema.names)
+
+    return rows.select(*names, "_number", at.alias("_at")).mapInArrow(put, schema)
 
 
 def append(files: DataFrame, new: DataFrame, limit: int) -> DataFrame:
@@ -155,27 +243,68 @@ def copies(plan: DataFrame) -> DataFrame:
     return out.drop("_run").filter((F.col("shard") != F.col("new_shard")) | (F.col("offset") != F.col("new_offset")))
 
 
-def defrag_quick(files: DataFrame, most: int | None = None, skip_normal: int = 2, skip_outlier: int = 10) -> list[tuple[str, int, int]]:
-    """Moves from the end: each file goes to the first earlier gap that holds it. (path, new shard, new offset). Sequential by
-    nature: it works on the driver and is meant for the tail of an archive; `most` bounds the files that it takes up."""
-    holes = [list(r) for r in gaps(files).orderBy("shard", "offset").toLocalIterator()]
+def defrag_quick(files: DataFrame, limit: int | None = None, seconds: float | None = None, skip_normal: int = 2, skip_outlier: int = 10) -> list[tuple[str, int, int]]:
+    """Moves from the end: each file goes to the first earlier gap that holds it, and its old place becomes a gap. Files that fit
+    nowhere are passed over, few of ordinary size and some more of the largest 5 %; then all from the first of these on move up
+    to the gaps right before them. (path, new shard, new offset), in the order in which bytes may be copied. Sequential by
+    nature: it is for the tail of an archive, bounded by seconds (none: no bound) and by what may be passed over. An action.
+    With a limit, the ends of shards are gaps as well. Empty files stay."""
+    began = time.monotonic()
+    holes = [list(r) for r in gaps(files, limit).orderBy("shard", "offset").toLocalIterator()]
     threshold = outlier_threshold(files).first()[0] or 0
     tail = files.filter("size > 0").orderBy(F.desc("shard"), F.desc("offset"), F.desc("path")).select("path", "shard", "offset", "size")
-    moves, skipped = [], {True: 0, False: 0}
-    for path, shard, offset, size in (tail.limit(most) if most is not None else tail).toLocalIterator():
-        hole = next((h for h in holes if h[2] >= size and (h[0], h[1]) < (shard, offset)), None)
-        if hole is None:
-            outlier = size > threshold
+    moves, skipped, stuck = [], {True: 0, False: 0}, None
+
+    def free(shard: int, offset: int, size: int) -> None:
+        i = bisect.bisect_left(holes, [shard, offset])
+        if i < len(holes) and holes[i][0] == shard and holes[i][1] == offset + size:
+            size += holes.pop(i)[2]
+        if i and holes[i - 1][0] == shard and holes[i - 1][1] + holes[i - 1][2] == offset:
+            holes[i - 1][2] += size
+        else:
+            holes.insert(i, [shard, offset, size])
+
+    for path, shard, offset, size in tail.toLocalIterator():
+        if seconds is not None and time.monotonic() - began > seconds:
+            break
+        upto = bisect.bisect_left(holes, [shard, offset])
+        i = next((i for i in range(upto) if holes[i][2] >= size), None)
+        if i is None:
+            stuck = (shard, offset)
+            outlier = size >= threshold
             skipped[outlier] += 1
             if skipped[outlier] > (skip_outlier if outlier else skip_normal):
                 break
             continue
-        moves.append((path, hole[0], hole[1]))
-        hole[1] += size
-        hole[2] -= size
+        moves.append((path, holes[i][0], holes[i][1]))
+        holes[i] = [holes[i][0], holes[i][1] + size, holes[i][2] - size]
+        if not holes[i][2]:
+            del holes[i]
+        free(shard, offset, size)
+    if stuck is not None:
+        gone = {path for path, _, _ in moves}
+        behind = (F.col("shard") > stuck[0]) | (F.col("shard") == stuck[0]) & (F.col("offset") >= stuck[1])
+        for path, shard, offset, size in files.filter((F.col("size") > 0) & behind).orderBy("shard", "offset").select("path", "shard", "offset", "size").toLocalIterator():
+            i = bisect.bisect_left(holes, [shard, offset]) - 1
+            if path in gone or i < 0 or holes[i][0] != shard or holes[i][1] + holes[i][2] != offset:
+                continue
+            moves.append((path, shard, holes[i][1]))
+            space = holes.pop(i)
+            free(shard, space[1] + size, space[2])
     return moves
 
 
 def find_space(files: DataFrame, size: int, limit: int) -> DataFrame:
     """The first gap, or shard's end, that holds size bytes."""
     return gaps(files, limit).filter(F.col("size") >= size).orderBy("shard", "offset").limit(1)
+
+
+def find_space_for(files: DataFrame, path: str, size: int, limit: int) -> tuple[int, int]:
+    """Where a file of files may go when it gets another size: where it is if what follows leaves room, else the first hole that
+    holds it, else a new shard. An action."""
+    shard, offset = files.filter(F.col("path") == path).select("shard", "offset").first()
+    after = files.filter((F.col("shard") == shard) & (F.col("offset") > offset)).agg(F.min("offset")).first()[0]
+    if size <= (limit if after is None else after) - offset:
+        return shard, offset
+    found = find_space(files, size, limit).select("shard", "offset").first()
+    return tuple(found) if found else (files.agg(F.max("shard")).first()[0] + 1, 0)

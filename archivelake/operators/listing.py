@@ -72,25 +72,28 @@ def shares(files: DataFrame, dirs: DataFrame, directory: str = "") -> DataFrame:
 
 
 def sequences(files: DataFrame, directory: str | None = None, least: int = 5) -> DataFrame:
-    """Runs of numbered names, such as frames: parent, pattern (the position that varies most is a star), n, first, last.
+    """Runs of numbered names, such as frames: parent, pattern (a star for each digit of the number that varies most), n, first,
+    last. Names in no run stand by themselves: the name as pattern, n = 1, no first and last.
 
-    Names are alike if all but their digits is, and numbers at the same place have as many digits. Of the numbers in alike names
-    the one with most distinct values is starred (the last of several); names that agree in all others form a sequence of least
-    names or more.
+    Names are alike if all but their digits is, and numbers at the same place have as many digits. Of the numbers in least alike
+    names or more, the one with most distinct values is starred (the first of several); names that agree in all others form a
+    run if they are least or more.
     """
     rows = files if directory is None else direct(files, directory)
     name = paths.basename(F.col("path"))
-    rows = rows.select("parent", name.alias("name"), F.regexp_extract_all(name, F.lit("[0-9]+"), F.lit(0)).alias("numbers"), F.split(name, "[0-9]+").alias("texts")).filter(F.size("numbers") > 0)
+    rows = rows.select("parent", name.alias("name"), F.regexp_extract_all(name, F.lit("[0-9]+"), F.lit(0)).alias("numbers"), F.split(name, "[0-9]+").alias("texts"))
     rows = rows.withColumn("shape", F.to_json(F.struct("texts", F.transform("numbers", F.length).alias("widths"))))
     alike = ["parent", "shape"]
     each = rows.select(*alike, F.posexplode("numbers").alias("place", "number"))
     counts = each.groupBy(*alike, "place").agg(F.countDistinct("number").alias("kinds"), F.count("*").alias("n"))
-    star = counts.groupBy(*alike).agg(F.max_by("place", F.struct("kinds", "place")).alias("star"), F.max("n").alias("n")).filter(F.col("n") >= least).drop("n")
-    marked = rows.join(star, alike).withColumn("value", F.get("numbers", F.col("star")))
-    filled = F.transform("texts", lambda t, i: F.concat(t, F.when(i == F.col("star"), "*").otherwise(F.coalesce(F.get("numbers", i), F.lit("")))))
-    marked = marked.withColumn("pattern", F.array_join(filled, ""))
-    out = marked.groupBy("parent", "pattern", "shape").agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
-    return out.filter(F.col("n") >= least).drop("shape")
+    star = counts.groupBy(*alike).agg(F.min_by("place", F.struct(-F.col("kinds"), F.col("place"))).alias("star"), F.max("n").alias("n")).filter(F.col("n") >= least).drop("n")
+    marked = rows.join(star, alike, "left").withColumn("value", F.get("numbers", F.col("star")))
+    filled = F.transform("texts", lambda t, i: F.concat(t, F.when(i == F.col("star"), F.repeat(F.lit("*"), F.length("value"))).otherwise(F.coalesce(F.get("numbers", i), F.lit("")))))
+    marked = marked.withColumn("pattern", F.when(F.col("star").isNotNull(), F.array_join(filled, "")))
+    runs = marked.filter("pattern is not null").groupBy(*alike, "pattern").agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last"))
+    single = lambda x: x.select("parent", F.col("name").alias("pattern"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last"))
+    short = marked.join(runs.filter(F.col("n") < least).select(*alike, "pattern"), [*alike, "pattern"], "left_semi")
+    return runs.filter(F.col("n") >= least).drop("shape").unionByName(single(short)).unionByName(single(marked.filter("pattern is null")))
 
 
 def long_listing(both: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """An archive as immutable snapshots: Parquet tables files and dirs, shards, and a manifest that names the current ones.
 
 A change is a transformation of the tables. ``commit`` writes the new tables next to the old and then replaces the manifest in
-one rename, so a reader sees the old state or the new one, and a job that fails leaves the old one.
+one rename, so a reader sees the old state or the new one, and a job that fails leaves the old one. What replaces something is
+one commit, made after the new contents are written. Old tables stay for readers that still hold them until ``vacuum``; shards
+are never written again.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import globs, paths
 from ..functions.codecs import Codecs
-from ..operators import algebra, integrity, layout, listing, lookup, stats
+from ..operators import algebra, integrity, layout, listing, lookup, stats, sync
 from ..schema import DIRS, FILE_COLUMNS, FILES, NO_LIMIT, SCHEMA_VERSION, ArchiveError, EntryExists, EntryNotFound, FileTooLarge
-from ..sources import packed, shards
+from ..sources import packed, shards, stores, trees
 
 MODES = {"r", "r+", "w+", "x+", "a+", "ax+"}
 
@@ -39,6 +41,20 @@ class EntryFile(io.BytesIO):
             raise io.UnsupportedOperation("not writable")
         return super().write(data)
 
+    def truncate(self, size: int | None = None) -> int:
+        """To size bytes, zeros behind what was there."""
+        if self.store is None:
+            raise io.UnsupportedOperation("not writable")
+        size = self.tell() if size is None else size
+        held = len(self.getbuffer())
+        if size > held:
+            at = self.tell()
+            self.seek(held)
+            super().write(bytes(size - held))
+            self.seek(at)
+            return size
+        return super().truncate(size)
+
     def close(self) -> None:
         store, self.store = self.store, None
         if store is not None and not self.closed:
@@ -53,7 +69,7 @@ class Archive:
     def __init__(self, spark: SparkSession, root: str, mode: str = "r", shard_size_limit: int | None = None, codecs: Codecs | None = None):
         if mode not in MODES:
             raise ValueError(f"mode {mode!r}")
-        self.spark, self.root, self.mode, self.codecs = spark, root.rstrip("/"), mode, codecs or Codecs(strict=False)
+        self.spark, self.root, self.mode, self.codecs = spark, stores.qualified(spark, root).rstrip("/"), mode, codecs or Codecs(strict=False)
         there = self._exists("manifest.json")
         if mode in ("x+", "ax+") and there:
             raise EntryExists(root)
@@ -67,7 +83,7 @@ class Archive:
             if self.manifest["version"][0] != SCHEMA_VERSION[0]:
                 raise ArchiveError(f"version {self.manifest['version']} can't be read")
         else:
-            self.manifest = {"version": list(SCHEMA_VERSION), "limit": NO_LIMIT, "tables": None, "shards": {}}
+            self.manifest = {"version": list(SCHEMA_VERSION), "limit": NO_LIMIT, "tables": None, "shards": {}, "next_shard": 0}
             self.commit(spark.createDataFrame([], FILES))
         if shard_size_limit is not None and shard_size_limit != self.limit:
             self.shard_size_limit = shard_size_limit
@@ -107,17 +123,24 @@ class Archive:
         if change and self.mode in ("a+", "ax+"):
             raise PermissionError("the archive is open for adding")
 
-    def commit(self, files: DataFrame, known_dirs: DataFrame | None = None, shard_uris: dict[int, str] | None = None) -> None:
+    def commit(self, files: DataFrame, known_dirs: DataFrame | None = None, shard_uris: dict[int, str] | None = None, next_shard: int | None = None) -> None:
         """Makes files the archive's state: directories are completed and all counts recomputed."""
         name = uuid.uuid4().hex
         files.select(*FILE_COLUMNS).repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{self.root}/{name}/files")
         stored = self.spark.read.schema(FILES).parquet(f"{self.root}/{name}/files")
         stats.complete_dirs(stored, known_dirs).repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{self.root}/{name}/dirs")
-        old = self.manifest["tables"]
         self.manifest = self.manifest | {"tables": name, "shards": {str(k): v for k, v in (self._uris() if shard_uris is None else shard_uris).items()}}
+        if next_shard is not None:
+            self.manifest["next_shard"] = next_shard
         self._write("manifest.json", json.dumps(self.manifest))
-        if old:
-            self._fs().delete(self._path(old), True)
+
+    def _next_shard(self) -> int:
+        """The first number that no shard has had, in this snapshot or one before it."""
+        return max(self.manifest.get("next_shard", 0), lookup.used_shards(self.files).first()[0])
+
+    def scope(self):
+        """For the tables that a change needs on its way."""
+        return stores.scope(self.spark, f"{self.root}/scratch")
 
     def _uris(self) -> dict[int, str]:
         return {int(k): v for k, v in self.manifest["shards"].items()}
@@ -159,12 +182,21 @@ class Archive:
     # -- reading
 
     def read(self, path: str, offset: int = 0, size: int = -1) -> bytes:
+        """An entry's bytes, checked against its checksum; of a part only its bytes are read, unchecked."""
         rows = lookup.lookup(self.files, path)
-        row = self.contents(rows).select("content").first()
+        whole = offset == 0 and size < 0
+        found = self.contents(rows) if whole else shards.read_ranges(rows, f"{self.root}/data", offset, size if size >= 0 else NO_LIMIT, self._uris())
+        row = found.select("content").first()
         if row is None:
             raise EntryNotFound(path)
-        data = bytes(row[0])
-        return data[offset:] if size < 0 else data[offset : offset + size]
+        return bytes(row[0])
+
+    def readinto(self, path: str, buffer, offset: int = 0) -> int:
+        """Fills a writable buffer with an entry's bytes from offset on; how many there were."""
+        view = memoryview(buffer).cast("B")
+        data = self.read(path, offset, len(view))
+        view[: len(data)] = data
+        return len(data)
 
     def __getitem__(self, path: str):
         try:
@@ -274,14 +306,13 @@ class Archive:
         return io.TextIOWrapper(file, encoding=encoding) if text else file
 
     def update(self, path: str, content: bytes) -> None:
-        """Another content under the same path; the rest of its metadata stays. The old bytes become a gap."""
-        self._may(change=self.isfile(path))
-        path = paths.normalize(path)
-        old = self.files.filter(F.col("path") == path).select("mode", "uid", "gid", "mtime_ns").first()
-        new = self.spark.createDataFrame([(path, bytearray(content), *(old or (None,) * 4))], "path string, content binary, mode int, uid int, gid int, mtime_ns long")
-        if old is not None:
-            self.change(lambda f: f.filter(F.col("path") != path))
-        self.add(new)
+        """Another content under the same path; the rest of its metadata stays. The old bytes become a gap. One commit: if the
+        new content can't be stored, the old one stays."""
+        old = lookup.lookup(self.files, path)
+        there = old.select("mode", "uid", "gid", "mtime_ns").first()
+        self._may(change=there is not None)
+        new = self.spark.createDataFrame([(paths.normalize(path), bytearray(content), *(there or (None,) * 4))], "path string, content binary, mode int, uid int, gid int, mtime_ns long")
+        self.add(new, gone=old if there else None)
 
     def fill_checksums(self) -> None:
         """Computes the checksums of files that have none."""
@@ -289,42 +320,89 @@ class Archive:
         self.change(lambda f: algebra.update(f, new))
 
     def vacuum(self) -> list[str]:
-        """Removes shards of its own that no file lies in; their names."""
+        """Removes shards of its own that no file lies in, and tables of earlier snapshots; the shards' names."""
         self._may(change=True)
         used = {r[0] for r in self.files.select("shard").distinct().toLocalIterator()}
         fs, gone = self._fs(), []
         for status in fs.globStatus(self._path("data-shard-*")) or []:
             name = status.getPath().getName()
-            if name.rpartition("-")[2].isdigit() and int(name.rpartition("-")[2]) not in used:
+            if not name.rpartition("-")[2].isdigit() or int(name.rpartition("-")[2]) not in used:
                 fs.delete(status.getPath(), False)
                 gone.append(name)
+        for status in fs.listStatus(self._path("")):
+            name = status.getPath().getName()
+            if status.isDirectory() and (name == "scratch" or len(name) == 32 and name != self.manifest["tables"]):
+                fs.delete(status.getPath(), True)
         return gone
 
-    def add(self, new: DataFrame, exist_ok: bool = False) -> None:
-        """Adds files (path, content, and any of mode, uid, gid, mtime_ns): written behind what is there, with checksums."""
-        self._may()
+    def add(self, new: DataFrame, exist_ok: bool = False, gone: DataFrame | None = None) -> None:
+        """Adds files (path, content, and any of mode, uid, gid, mtime_ns): written behind what is there, with checksums. gone:
+        files (path) that go in the same commit."""
         path = F.regexp_replace(F.regexp_replace("path", "/+", "/"), "^/|/$", "")
-        new = new.withColumn("path", path).withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
+        new = new.withColumn("path", path)
+        with self.scope():
+            rows = new.withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long"))
+            self._store(rows.drop("content"), lambda placed: placed.join(new.select("path", "content"), "path"), None, exist_ok, gone)
+
+    def add_folder(self, root: str, include: list[str] | None = None, exclude: list[str] | None = None, exist_ok: bool = False) -> None:
+        """Adds a folder's files and directories with their metadata, empty ones too; contents are read once, where shards are
+        written. With rules, directories follow from the files."""
+        with self.scope():
+            tree = stores.stored(trees.read_tree(self.spark, root), "tree")
+            files = tree.filter("type = 'f'").filter(globs.build_filter(F.col("path"), include or [], exclude or []))
+            found = self.dirs if include or exclude else self._with_dirs(tree.filter("type = 'd'"))
+            self._store(files.drop("type"), None, lambda rows: trees.with_content(rows, root), exist_ok, dirs=found)
+
+    def _with_dirs(self, more: DataFrame) -> DataFrame:
+        """dirs and those of more (path and metadata) that are not there."""
+        new = more.join(self.dirs.select("path"), "path", "left_anti").select("path", "mode", "uid", "gid", "mtime_ns")
+        return self.dirs.unionByName(new, allowMissingColumns=True)
+
+    def _store(self, new: DataFrame, join: Callable | None, fetch: Callable | None, exist_ok: bool = False, gone: DataFrame | None = None, dirs: DataFrame | None = None, order: tuple[str, ...] = ("path",)) -> None:
+        """Adds files (path, size and metadata, in a scope), whose contents come from join (placed rows with content) or fetch
+        (the same for rows that were dealt to the tasks that write). Rows are read once and stored; what can fail does so before
+        anything is replaced, which is one commit at the end."""
+        self._may()
+        kept = self.files if gone is None else stores.stored(self.files.join(gone.select("path"), "path", "left_anti"), "kept")
+        new = stores.stored(new, "new")
         twice = new.groupBy("path").count().filter("count > 1").first()
         if twice:
             raise EntryExists(twice[0])
-        new = algebra.check_new(self.files, self.dirs, new, exist_ok)
+        new = algebra.check_new(kept, self.dirs, new, exist_ok)
         over = new.filter(F.col("size") > self.limit).select("path").first()
         if over:
             raise FileTooLarge(over[0])
         # new shards only: those that are there are never written again
-        first = lookup.used_shards(self.files).first()[0]
-        placed = layout.place(new, self.limit, ["path"])
-        placed = placed.withColumns({"shard": (F.col("new_shard") + first).cast("int"), "offset": F.col("new_offset")})
-        crc = shards.write_shards(placed, f"{self.root}/data")
-        crc.write.parquet(f"{self.root}/crc-{(mark := uuid.uuid4().hex)}")
-        sums = self.spark.read.schema("path string, crc32c long").parquet(f"{self.root}/crc-{mark}")
-        rows = placed.drop("content", "crc32c", "parent").join(sums, "path").withColumn("parent", paths.parent(F.col("path")))
+        first = self._next_shard()
+        placed = layout.place(new, self.limit, list(order))
+        made = placed.agg(F.max("new_shard")).first()[0]
+        if made is None:
+            return self.commit(kept, dirs if dirs is not None else self.dirs)
+        placed = placed.withColumns({"shard": (F.col("new_shard") + first).cast("int"), "offset": F.col("new_offset")}).drop("new_shard", "new_offset")
+        sums = shards.write_shards(join(placed) if join else placed, f"{self.root}/data", fetch, min(made + 1, 10_000) if fetch else None)
+        sums = stores.stored(sums, "checksums")
+        rows = placed.select(*[c for c in placed.columns if c in FILE_COLUMNS and c not in ("crc32c", "parent")]).join(sums, "path").withColumn("parent", paths.parent(F.col("path")))
         for field in FILES.fields:
             if field.name not in rows.columns:
                 rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
-        self.commit(self.files.unionByName(rows.select(*FILE_COLUMNS)), self.dirs)
-        self._fs().delete(self._path(f"crc-{mark}"), True)
+        self.commit(kept.unionByName(rows.select(*FILE_COLUMNS)), dirs if dirs is not None else self.dirs, next_shard=first + made + 1)
+
+    def plan_sync(self, root: str, options: sync.Options | None = None) -> DataFrame:
+        """What sync() of a folder would do: path and action, and sizes and times of both sides."""
+        return sync.actions(trees.read_folder(self.spark, root, content=False), self.files, options)
+
+    def sync(self, root: str, options: sync.Options | None = None) -> dict[str, int]:
+        """Makes the archive like a folder, in one commit; how many files had each action."""
+        self._may(change=True)
+        with self.scope():
+            source = stores.stored(trees.read_folder(self.spark, root, content=False), "source")
+            plan = stores.stored(sync.actions(source, self.files, options).select("path", "action"), "plan")
+            done = {r[0]: r[1] for r in plan.groupBy("action").count().collect()}
+            if {"add", "update", "delete"} & set(done):
+                gone = plan.filter("action in ('update', 'delete')")
+                new = source.join(plan.filter("action in ('add', 'update')").select("path"), "path", "left_semi").drop("parent")
+                self._store(new, None, lambda rows: trees.with_content(rows, root), gone=gone)
+            return done
 
     def __setitem__(self, path: str, value) -> None:
         data = self.codecs.encode(path, value)
@@ -358,12 +436,15 @@ class Archive:
         self._may(change=True)
         self.commit(self.files, algebra.remove_dir(self.dirs, path))
 
-    def mkdir(self, path: str, exist_ok: bool = False) -> None:
+    def mkdir(self, path: str, exist_ok: bool = False, **meta: int) -> None:
+        """A directory with mode, uid, gid and mtime_ns; of one that is there already these are replaced, if that is allowed."""
         self._may()
         path = paths.normalize(path)
         if self.isfile(path) or self.isdir(path) and not exist_ok:
             raise EntryExists(path)
-        self.commit(self.files, self.dirs.unionByName(self.spark.createDataFrame([(path,)], "path string"), allowMissingColumns=True).dropDuplicates(["path"]))
+        new = self.spark.createDataFrame([(path,)], "path string").withColumns({c: F.lit(v).cast("long" if c == "mtime_ns" else "int") for c, v in meta.items()})
+        known = algebra.update(self.dirs, new) if meta else self.dirs
+        self.commit(self.files, known.unionByName(new.join(self.dirs.select("path"), "path", "left_anti"), allowMissingColumns=True))
 
     def rename(self, old: str, new: str, overwrite: bool = False) -> None:
         if not self.exists(old):
@@ -382,25 +463,38 @@ class Archive:
             raise EntryNotFound(path)
         self.change(lambda f: algebra.set_meta(f, path, **values), lambda d: algebra.set_meta(d, path, **values))
 
-    def attach(self, other: Archive, prefix: str = "") -> None:
+    def attach(self, other: Archive, prefix: str = "", ignore_duplicates: bool = False) -> None:
         """Takes over another archive's index; its shards are referred to where they are."""
         self._may()
-        first = lookup.used_shards(self.files).first()[0]
-        count = lookup.used_shards(other.files).first()[0]
+        algebra.check_conflicts(other.files, other.dirs, self.files, self.dirs, prefix)
+        first, count = lookup.used_shards(self.files).first()[0], lookup.used_shards(other.files).first()[0]
         theirs = {first + i: other._uris().get(i) or shards.shard_uri(f"{other.root}/data", i) for i in range(count)}
-        merged = algebra.merge_indexes(self.files, other.files, prefix)
-        self.commit(merged, self.dirs.unionByName(algebra.prefixed(other.dirs, prefix)).dropDuplicates(["path"]), self._uris() | theirs)
-
-    def merge(self, other: Archive, prefix: str = "", ignore_duplicates: bool = False, where=None) -> None:
-        """Copies another archive's files, or those that meet a condition, behind what is there."""
-        source = other.files if where is None else other.files.filter(where)
-        rows = algebra.prefixed(other.contents(source).drop("crc32c", "shard", "offset", "size"), prefix)
-        self.add(rows.drop("parent"), exist_ok=ignore_duplicates)
-
-    def rewrite(self, target: str, limit: int | None = None, order: list[str] | None = None) -> Archive:
+        merged = algebra.merge_indexes(self.files, other.files, prefix, ignore_duplicates)
+        self.commit(merged, algebra.merge_dirs(self.dirs, other.dirs, prefix), self._uris() | theirs, max(self._next_shard(), first + count))
+
+    def merge(self, other: Archive, prefix: str = "", ignore_duplicates: bool = False, where=None, rules: list[tuple[bool, str]] | None = None, default: bool = True) -> None:
+        """Copies another archive's files and directories behind what is there; with a condition or rules (the first that matches
+        a path decides) the files that they choose, and no further directories. Contents are read once, at their addresses."""
+        chosen = other.files if where is None else other.files.filter(where)
+        chosen = chosen.filter(globs.first_match(F.col("path"), rules, default)) if rules else chosen
+        part = where is not None or bool(rules)
+        no_dirs = other.dirs.limit(0)
+        algebra.check_conflicts(chosen, no_dirs if part else other.dirs, self.files, self.dirs, prefix)
+        rows = algebra.prefixed(chosen.withColumnsRenamed({"shard": "_shard", "offset": "_offset"}), prefix).drop("parent")
+
+        def fetch(placed: DataFrame) -> DataFrame:
+            here = placed.withColumnsRenamed({"shard": "_to", "offset": "_at", "_shard": "shard", "_offset": "offset"})
+            read = shards.read_contents(here, f"{other.root}/data", other._uris(), in_order=True)
+            return read.withColumnsRenamed({"shard": "_shard", "offset": "_offset", "_to": "shard", "_at": "offset"})
+
+        with self.scope():
+            dirs = self.dirs if part else algebra.merge_dirs(self.dirs, other.dirs, prefix)
+            self._store(rows, None, fetch, exist_ok=ignore_duplicates, dirs=dirs, order=("_shard", "_offset"))
+
+    def rewrite(self, target: str, limit: int | None = None) -> Archive:
         """A copy without gaps, and with another limit if one is given: defragmentation and resharding."""
         out = Archive(self.spark, target, "w+", shard_size_limit=self.limit if limit is None else limit)
-        out.add(self.contents().drop("crc32c", "shard", "offset", "size", "parent"))
+        out.merge(self)
         return out
 
     def verify(self, quick: bool = False) -> DataFrame:
@@ -417,19 +511,26 @@ class Archive:
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text, files=self.files, dirs=self.dirs, entries=self.entries)
 
-    def to_packed(self, target: str, wrapper: str = "", where=None) -> int:
-        """One tar or zip file of all entries, or of the files that meet a condition and all directories."""
+    def to_packed(self, target: str, wrapper: str = "", where=None, rules: list[tuple[bool, str]] | None = None, default: bool = True) -> int:
+        """One tar or zip file of all entries, or of the files that meet a condition or rules, and all directories."""
+        where = globs.first_match(F.col("path"), rules, default) if rules else where
         kind = next(e[1:] for e in (".tar.gz", ".tar.bz2", ".tar.xz", ".tar", ".zip") if target.endswith(e))
         both = self.contents(self.files if where is None else self.files.filter(where)).withColumn("type", F.lit("f")).unionByName(self.dirs.withColumn("type", F.lit("d")), allowMissingColumns=True)
         return packed.write_packed(both, target, kind, wrapper)
 
     @classmethod
-    def from_packed(cls, spark: SparkSession, source: str, root: str, shard_size_limit: int | None = None) -> Archive:
+    def from_packed(cls, spark: SparkSession, source: str, root: str, shard_size_limit: int | None = None, rules: list[tuple[bool, str]] | None = None, default: bool = True) -> Archive:
+        """An archive of tar or zip files, or of the entries in them that rules choose. Headers are read first, contents once."""
         out = cls(spark, root, "x+", shard_size_limit)
         rows = packed.read_packed(spark, source)
-        out.add(rows.filter("type = 'f'").select("path", "content", "mode", "uid", "gid", "mtime_ns"))
-        empty = rows.filter("type = 'd' and path <> ''").select("path", "mode", "uid", "gid", "mtime_ns")
-        out.commit(out.files, out.dirs.join(empty.select("path"), "path", "left_anti").unionByName(empty, allowMissingColumns=True))
+        if rules:
+            rows = rows.filter(globs.first_match(F.col("path"), rules, default))
+        meta = packed.read_packed(spark, source, content=False)
+        meta = meta.filter(globs.first_match(F.col("path"), rules, default)) if rules else meta
+        contents = rows.filter("type = 'f'").select("path", "content")
+        with out.scope():
+            found = out._with_dirs(meta.filter("type = 'd' and path <> ''"))
+            out._store(meta.filter("type = 'f'").select("path", "size", "mode", "uid", "gid", "mtime_ns"), lambda placed: placed.join(contents, "path"), None, dirs=found)
         return out
 
 

@@ -47,6 +47,10 @@ class IntegrityError(ArchiveError):
     pass
 
 
+class MergeConflict(ArchiveError, ValueError):
+    pass
+
+
 class NotEnoughSpace(ArchiveError):
     pass
 

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.paths import normalize
-from .shards import open_uri
+from .stores import open_uri
 
 SCHEMA = "archive string, path string, type string, offset long, size long, mode int, uid int, gid int, mtime_ns long, content binary"
 PACKED = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz", ".zip")

@@ -6,7 +6,7 @@ by ranges of addresses, so a shard is read front to back and neighbours are one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,27 +14,19 @@ from pyspark.sql import functions as F
 
 from ..functions.checksums import crc32c_rows
 from ..schema import IntegrityError
+from .stores import file_system, open_uri, qualified
 
 #: Bytes between two files up to which both are fetched in one read; bytes of contents in a batch.
 JOIN_BYTES, BATCH_BYTES = 64 << 10, 16 << 20
 
 
-def open_uri(uri: str):
-    """A seekable binary file of any store that pyarrow's file systems know; plain paths are local."""
-    from pyarrow import fs
-
-    if "://" not in uri:
-        return fs.LocalFileSystem().open_input_file(uri)
-    store, path = fs.FileSystem.from_uri(uri)
-    return store.open_input_file(path)
-
-
 def shard_uri(root: str, shard: int) -> str:
     return f"{root}-shard-{shard:05d}"
 
 
-def read_contents(files: DataFrame, root: str, uris: dict[int, str] | None = None, check: bool = True) -> DataFrame:
-    """files with content. With check, a file whose stored checksum differs is an error; one without is taken as it is."""
+def read_contents(files: DataFrame, root: str, uris: dict[int, str] | None = None, check: bool = True, in_order: bool = False) -> DataFrame:
+    """files with content, by address in each partition (or, in_order, in the order of rows). With check, a file whose stored checksum differs is an error; one without is taken as it is."""
+    root = qualified(files.sparkSession, root) if root else root  # not needed where uris has all shards
     names = files.columns
     schema = files.withColumn("content", F.lit(None).cast("binary")).schema
 
@@ -65,23 +57,31 @@ def read_contents(files: DataFrame, root: str, uris: dict[int, str] | None = Non
                     yield pa.RecordBatch.from_arrays([*batch.slice(begin, at - begin).columns, pa.array(contents, pa.binary())], [*names, "content"])
                     begin, held, contents = at, 0, []
 
-    return files.sortWithinPartitions("shard", "offset").mapInArrow(read, schema)
+    rows = files if in_order else files.sortWithinPartitions("shard", "offset")
+    return rows.mapInArrow(read, schema)
 
 
-def partial(contents: DataFrame, offset: int, size: int) -> DataFrame:
-    """Bytes [offset, offset + size) of each file's content."""
-    return contents.withColumn("content", F.substring("content", offset + 1, size))
+def read_ranges(files: DataFrame, root: str, offset: int, size: int, uris: dict[int, str] | None = None) -> DataFrame:
+    """files with the bytes [offset, offset + size) of each as content; only those are read, so no checksum is looked at. A file
+    that ends earlier has fewer."""
+    whole = F.coalesce("size", F.lit(0))
+    from_ = F.least(F.lit(offset).cast("long"), whole)
+    rows = files.withColumns({"_o": F.col("offset"), "_s": F.col("size"), "offset": F.col("offset") + from_, "size": F.least(whole - from_, F.lit(size).cast("long"))})
+    out = read_contents(rows, root, uris, check=False)
+    return out.withColumns({"offset": F.col("_o"), "size": F.col("_s")}).drop("_o", "_s")
 
 
-def write_shards(placed: DataFrame, root: str) -> DataFrame:
+def write_shards(placed: DataFrame, root: str, fetch: Callable[[DataFrame], DataFrame] | None = None, tasks: int | None = None) -> DataFrame:
     """Writes contents at their addresses and returns path, crc32c of each. placed: path, shard, offset, size, content. A task
-    writes whole shards in order of address: a shard appears when it is complete, and a second run of a task replaces it."""
+    writes whole shards in order of address: a shard appears when it is complete, and a second run of a task replaces it.
+    fetch, if given, adds content to rows that are placed without it, after these were dealt to tasks, so that no content is
+    shuffled; tasks is then the number of tasks, which Spark can't tell from rows without contents."""
+    root = qualified(placed.sparkSession, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, base = (fs.LocalFileSystem(), root) if "://" not in root else fs.FileSystem.from_uri(root)
+        store, base = file_system(root)
         attempt, out, current, at, part = TaskContext.get().taskAttemptId(), None, None, 0, ""
 
         def close() -> None:
@@ -105,5 +105,6 @@ def write_shards(placed: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc32c_rows([x or b"" for x in contents]), pa.int64())], ["path", "crc32c"])
         close()
 
-    rows = placed.repartition("shard").sortWithinPartitions("shard", "offset").select("path", "shard", "offset", "content")
+    rows = (placed.repartition(tasks, "shard") if tasks else placed.repartition("shard")).sortWithinPartitions("shard", "offset")
+    rows = (fetch(rows) if fetch else rows).select("path", "shard", "offset", "content")
     return rows.mapInArrow(write, "path string, crc32c long")

@@ -1,24 +1,107 @@
-"""Folders of any file system as tables of files."""
+"""Folders of any file system as tables of entries."""
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import globs, paths
+from .stores import file_system, qualified
+
+TREE = "type string, path string, size long, mode int, uid int, gid int, mtime_ns long"
+#: Directories that the driver looks for before tasks walk on from them; bytes of contents in a batch.
+SEEDS, BATCH_BYTES = 64, 16 << 20
+
+
+def _listed(store, base: str, inner: str, local: bool) -> Iterator[tuple]:
+    """Rows of TREE for what is right in a directory. Local files have their mode and owner; links to directories are passed over."""
+    at = f"{base}/{inner}" if inner else base
+    if local:
+        with os.scandir(at) as found:
+            for x in found:
+                kind = "d" if x.is_dir(follow_symlinks=False) else "f" if x.is_file() else None
+                if kind:
+                    s = x.stat()
+                    yield kind, f"{inner}/{x.name}" if inner else x.name, s.st_size if kind == "f" else None, s.st_mode, s.st_uid, s.st_gid, s.st_mtime_ns
+        return
+    from pyarrow import fs
+
+    for x in store.get_file_info(fs.FileSelector(at)):
+        if x.type in (fs.FileType.File, fs.FileType.Directory):
+            kind = "f" if x.type == fs.FileType.File else "d"
+            yield kind, f"{inner}/{x.base_name}" if inner else x.base_name, x.size if kind == "f" else None, stat.S_IFREG | 0o644 if kind == "f" else stat.S_IFDIR | 0o755, None, None, x.mtime_ns
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """type ('f' or 'd'), path (relative to root), size, mode, uid, gid, mtime_ns of all below a folder, empty files and empty
+    directories included. The driver looks for some directories to start from; tasks list those and walk on."""
+    root = qualified(spark, root)
+    store, base = file_system(root)
+    local = root.startswith("file:")
+    base = base.rstrip("/") or "/"
+    seeds, queue = [], [""]
+    while queue and len(queue) < SEEDS and len(seeds) < SEEDS:
+        inner = queue.pop(0)
+        seeds.append((inner, False))
+        queue.extend(x[1] for x in _listed(store, base, inner, local) if x[0] == "d")
+    seeds += [(x, True) for x in queue]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = file_system(root)
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in TREE.split(", ")])
+        rows = []
+        for batch in batches:
+            for inner, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                stack = [inner]
+                while stack:
+                    for x in _listed(store, base, stack.pop(), local):
+                        rows.append(x)
+                        if deep and x[0] == "d":
+                            stack.append(x[1])
+                        if len(rows) >= 5000:
+                            yield batch_of(rows)
+                            rows = []
+        if rows:
+            yield batch_of(rows)
+
+    starts = spark.createDataFrame(seeds, "inner string, deep boolean").repartition(min(len(seeds), SEEDS), "inner")
+    return starts.mapInArrow(walk, TREE)
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """files (path, relative to root, and any others) with content, read where the rows are."""
+    root, names = qualified(files.sparkSession, root), files.columns
+    schema = files.withColumn("content", F.lit(None).cast("binary")).schema
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = file_system(root)
+        for batch in batches:
+            begin, held, contents = 0, 0, []
+            for i, path in enumerate(batch.column(names.index("path")).to_pylist()):
+                with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                    contents.append(f.read())
+                held += len(contents[-1])
+                if held >= BATCH_BYTES or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, i + 1 - begin).columns, pa.array(contents, pa.binary())], [*names, "content"])
+                    begin, held, contents = i + 1, 0, []
+
+    return files.mapInArrow(read, schema)
 
 
 def read_folder(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, content: bool = True) -> DataFrame:
-    """path (relative to root), parent, size, mtime_ns (and content) of the files below a folder. Times are those of the store, to
-    the microsecond; owners and modes are not known to it and stay null."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.partition("://")[2].lstrip("/") if "://" in root else root.strip("/"))
-    whole = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z0-9+.-]+:/+", "")
-    path = F.ltrim(F.substr(whole, F.length(base) + 1), F.lit("/"))
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), *(["content"] if content else []))
-    rows = rows.filter(globs.build_filter(F.col("path"), include or [], exclude or []))
-    meta = [F.lit(None).cast("int").alias(c) for c in ("mode", "uid", "gid")]
-    return rows.select("path", paths.parent(F.col("path")).alias("parent"), "size", *meta, "mtime_ns", *(["content"] if content else []))
+    """path (relative to root), parent, size, mode, uid, gid, mtime_ns (and content) of the files below a folder."""
+    rows = read_tree(spark, root).filter("type = 'f'").filter(globs.build_filter(F.col("path"), include or [], exclude or []))
+    rows = rows.select("path", paths.parent(F.col("path")).alias("parent"), "size", "mode", "uid", "gid", "mtime_ns")
+    if not content:
+        return rows
+    # a number of its own keeps Spark from joining parts by the few bytes that rows have without their contents
+    return with_content(rows.repartition(max(64, 4 * spark.sparkContext.defaultParallelism), "path"), root)
 
 
 def read_list(spark: SparkSession, listing: str, separator: str = "\n") -> DataFrame:
@@ -29,15 +112,12 @@ def read_list(spark: SparkSession, listing: str, separator: str = "\n") -> DataF
 def write_folder(contents: DataFrame, root: str) -> DataFrame:
     """Writes contents (path, content) below root on a store that all executors reach; path and size of what was written. A file
     appears whole or not at all."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
+    root = qualified(contents.sparkSession, root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, base = (fs.LocalFileSystem(), root) if "://" not in root else fs.FileSystem.from_uri(root)
+        store, base = file_system(root)
         for batch in batches:
             sizes = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -57,9 +137,13 @@ def write_folder(contents: DataFrame, root: str) -> DataFrame:
 
 
 def write_index_csv(files: DataFrame, folder: str) -> None:
-    """path, shard, offset, size, crc32c in path order, text quoted; the files of the folder follow each other."""
-    rows = files.select("path", "shard", "offset", "size", "crc32c").orderBy("path")
-    rows.write.option("header", True).option("quoteAll", False).option("escapeQuotes", True).mode("overwrite").csv(folder)
+    """path, shard, offset, size, crc32c in path order, text in quotes (those in it doubled) and numbers not; the files of the
+    folder follow each other."""
+    quoted = F.concat(F.lit('"'), F.replace("path", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", quoted, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("shard", "offset", "size", "crc32c")])
+    # a line is one column here, so Spark's own quoting has to stay out of it
+    rows = files.orderBy("path").select(line.alias(",".join(f'"{c}"' for c in ("path", "shard", "offset", "size", "crc32c"))))
+    rows.write.options(header=True, sep="\1", quote="\0", escapeQuotes=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(folder)
 
 
 def write_jsonl(both: DataFrame, folder: str) -> None:

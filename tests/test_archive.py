@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from archivelake.cli import main
 from archivelake.functions.codecs import Codecs, arrays, json_values
 from archivelake.plans.archive import Archive, read_index, write_index
-from archivelake.schema import EntryExists, EntryNotFound, IntegrityError
+from archivelake.operators import sync
+from archivelake.schema import EntryExists, EntryNotFound, FileTooLarge, IntegrityError, MergeConflict
 from archivelake.sources import packed, shards
 from archivelake.streaming import ingest
 
@@ -83,8 +84,63 @@ def test_file_objects(archive):
     assert write_index(archive.spark, read_index(archive.files)).count() == 3
 
 
+def test_update_that_fails_keeps_the_old_content(archive):
+    with pytest.raises(FileTooLarge):
+        archive.update("x.txt", bytes(1000))
+    assert archive.read("x.txt") == b"hello"
+    archive.set_meta("x.txt", mode=0o100600)
+    archive.update("x.txt", b"other")
+    assert archive.read("x.txt") == b"other" and archive.stat("x.txt")["mode"] == 0o100600 and len(archive) == 4
+
+
+def test_readers_keep_their_snapshot(archive):
+    before = archive.contents()
+    archive.update("x.txt", b"new")
+    archive.remove("ü/é.bin")
+    assert {r["path"]: bytes(r["content"]) for r in before.collect()} == CONTENTS
+    archive.vacuum()
+    assert archive.read("x.txt") == b"new" and archive.verify().isEmpty()
+    # a number that a shard has had is never given again
+    numbers = [r[0] for r in archive.files.select("shard").distinct().collect()]
+    archive.rmtree("a")
+    archive.remove("x.txt")
+    archive["k"] = b"1"
+    assert archive.files.first()["shard"] > max(numbers)
+
+
+def test_parts_of_entries(archive):
+    room = bytearray(6)
+    assert archive.readinto("x.txt", room, 2) == 3 and bytes(room) == b"llo\0\0\0"
+    assert archive.read("a/y z+1.txt", 250) == bytes(range(250, 256)) and archive.read("x.txt", 9, 4) == b"" and archive.read("x.txt", 4, 99) == b"o"
+    with archive.open("x.txt", "r+b") as f:
+        assert f.truncate(8) == 8
+    assert archive.read("x.txt") == b"hello\0\0\0"
+
+
+def test_folders_with_empty_files_and_directories(spark, tmp_path):
+    src = tmp_path / "src"
+    for d in ("d/deep/er", "void"):
+        (src / d).mkdir(parents=True)
+    (src / "d" / "empty").write_bytes(b"")
+    (src / "d" / "deep" / "x").write_bytes(b"x")
+    (src / "d" / "deep" / "x").chmod(0o640)
+    os.utime(src / "d" / "deep" / "x", ns=(1, 1700000000123456789))
+    archive = Archive(spark, str(tmp_path / "t"), "x+")
+    archive.add_folder(str(src))
+    assert set(archive) == {"d/empty", "d/deep/x"} and archive.read("d/empty") == b""
+    assert archive.isdir("void") and archive.isdir("d/deep/er")
+    row = archive.stat("d/deep/x")
+    assert (row["mode"], row["mtime_ns"], row["size"]) == (0o100640, 1700000000123456789, 1)
+    # what the folder has stays, empty or not
+    assert archive.sync(str(src), sync.Options(delete=True)) == {"skip": 2}
+    (src / "d" / "deep" / "x").unlink()
+    (src / "d" / "more").write_bytes(b"more")
+    assert archive.sync(str(src), sync.Options(delete=True)) == {"skip": 1, "delete": 1, "add": 1}
+    assert set(archive) == {"d/empty", "d/more"} and archive.verify().isEmpty()
+
+
 def test_damage_is_found(archive):
-    with open(shards.shard_uri(f"{archive.root}/data", 0), "r+b") as f:
+    with open(shards.shard_uri(f"{archive.root}/data", 0).removeprefix("file://"), "r+b") as f:
         f.write(b"\xff\xff")
     assert [r["problem"] for r in archive.verify().collect()] == ["checksum"]
     with pytest.raises(Exception, match=IntegrityError.__name__):
@@ -99,6 +155,8 @@ def test_packed(archive, spark, tmp_path, end):
     assert "w/a/b/z.json" in names
     back = Archive.from_packed(spark, target, str(tmp_path / f"back-{end}"))
     assert {k[2:]: v for k, v in ((r["path"], bytes(r["content"])) for r in back.contents().collect())} == CONTENTS
+    few = Archive.from_packed(spark, target, str(tmp_path / f"few-{end}"), rules=[(True, "w/a/**")], default=False)
+    assert set(few) == {"w/a/y z+1.txt", "w/a/b/z.json"}
     if end == "tar":
         files, uris = packed.wrap(packed.read_packed(spark, target, content=False))
         assert {bytes(r["content"]) for r in shards.read_contents(files, "", uris).collect()} == set(CONTENTS.values())
@@ -112,6 +170,18 @@ def test_merge_and_attach(archive, spark, tmp_path):
     assert {bytes(r["content"]) for r in archive.contents().filter("path in ('p/k.txt', 'q/k.txt')").collect()} == {b"k"}
     assert archive.verify().count() == 0
     assert archive.sql("select count(*) from {files} where path like '%k.txt'").first()[0] == 2
+    other.mkdir("bare", mode=0o40711)
+    archive.merge(other, prefix="r", rules=[(False, "k.*")])
+    assert not archive.exists("r/k.txt") and not archive.isdir("r/bare")
+    archive.merge(other, prefix="r")
+    assert archive.read("r/k.txt") == b"k" and archive.stat("r/bare")["mode"] == 0o40711 and archive.verify().isEmpty()
+    with pytest.raises(EntryExists):
+        archive.merge(other, prefix="r")
+    archive.merge(other, prefix="r", ignore_duplicates=True)
+    with pytest.raises(MergeConflict):
+        archive.merge(other, prefix="x.txt/in")
+    with pytest.raises(EntryExists):
+        archive.attach(other, prefix="q")
 
 
 def test_codecs(spark):
@@ -152,7 +222,12 @@ def test_command_line(spark, tmp_path):
     run("create", tmp_path / "a", src)
     assert run("list", tmp_path / "a", "-R").split() == ["d/y.log", "x.txt"]
     assert "8\t." in run("du", tmp_path / "a")
-    assert run("cat", tmp_path / "a", "x.txt") == "hello"
+    assert run("cat", tmp_path / "a", "x.txt") == "hello" and run("head", tmp_path / "a", "x.txt", "-n", 1) == "hello\n"
+    assert run("du", tmp_path / "a", "-s", "-H") == "8\t.\n" and run("list", tmp_path / "a", "*/*.log") == "d/y.log\n"
+    assert run("list", tmp_path / "a", "-l").startswith("total 2\n")
+    run("index-to-csv", tmp_path / "a", tmp_path / "csv")
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("*.csv"))).splitlines()
+    assert lines[0] == '"path","shard","offset","size","crc32c"' and any(x.startswith('"x.txt",0,') for x in lines)
     run("extract", tmp_path / "a", tmp_path / "out", "-x", "d/")
     assert os.listdir(tmp_path / "out") == ["x.txt"]
     (src / "x.txt").unlink()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archivelake.functions import formatting, paths
 from archivelake.functions.checksums import crc32c, crc32c_rows
 from archivelake.operators import algebra, layout, listing, lookup, stats, sync
-from archivelake.schema import FILES, DirectoryNotEmpty, EntryExists, EntryNotFound, FileTooLarge, NotADirectory
+from archivelake.schema import FILES, DirectoryNotEmpty, EntryExists, EntryNotFound, FileTooLarge, MergeConflict, NotADirectory
 
 
 def make(spark, rows):
@@ -62,8 +62,11 @@ def test_problems_are_found(spark):
     assert {("no parent", "dir/sub/d.txt"), ("file and directory", "dir"), ("path twice", "a.txt"), ("stale counts", "")} <= found
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 30), (2, 50), (3, 1000)])
-def test_next_fit(spark, seed, limit):
+@pytest.mark.parametrize("seed,limit,alone,chunk,few", [(1, 30, 1000, 16, 64), (2, 50, 1000, 16, 64), (3, 1000, 1000, 16, 64), (4, 30, 0, 2, 0), (5, 45, 0, 1, 0), (6, 300, 0, 16, 64), (7, 5000, 0, 16, 64)])
+def test_next_fit(spark, monkeypatch, seed, limit, alone, chunk, few):
+    """In one task, in chunks that begin from guesses, and with each shard's end looked up."""
+    for name, value in (("ALONE", alone), ("CHUNK", chunk), ("FEW", few)):
+        monkeypatch.setattr(layout, name, value)
     random.seed(seed)
     rows = [(f"{i:04}", 0, i, random.choice([0, 1, 5, 10, 30])) for i in range(300)]
     got = {r["path"]: (r["new_shard"], r["new_offset"]) for r in layout.place(make(spark, rows), limit, ["offset"]).collect()}
@@ -87,13 +90,45 @@ def test_gaps_islands_and_copies(spark):
     plan = layout.defrag_plan(files.filter("path <> 'z'"), 100)
     assert {r["path"]: (r["new_shard"], r["new_offset"]) for r in plan.collect()} == {"a": (0, 0), "b": (0, 3), "c": (0, 8), "d": (0, 9)}
     assert sum(r["size"] for r in layout.copies(plan).collect()) == 13
-    assert layout.defrag_quick(files.filter("path <> 'z'")) == [("d", 0, 10), ("c", 0, 0)]
+    assert layout.defrag_quick(files.filter("path <> 'z'")) == [("d", 0, 10), ("c", 0, 0), ("a", 0, 1), ("b", 0, 4)]
+    files = files.filter("path <> 'z'")
+    assert layout.find_space_for(files, "b", 15, 100) == (0, 5) and layout.find_space_for(files, "a", 9, 100) == (0, 10)
+    assert layout.find_space_for(files, "a", 90, 100) == (1, 4) and layout.find_space_for(files, "a", 99, 100) == (2, 0)
+
+
+def test_quick_defrag_leaves_a_sound_layout(spark):
+    """Moves one by one: none overlaps a file, none goes up, freed places are used again, and a budget of no time moves little."""
+    r = random.Random(3)
+    rows, at = [], 0
+    for i in range(120):
+        at += r.choice([0, 0, 5, 40])
+        size = r.choice([1, 3, 8, 20, 60])
+        rows.append((f"{i:03}", at // 800, at % 800, size))
+        at += size
+        if at // 800 != (at - size) // 800:
+            at = (at // 800 + 1) * 800
+    files = make(spark, rows)
+    place = {p: (s, o, n) for p, s, o, n in rows}
+    moves = layout.defrag_quick(files)
+    for path, shard, offset in moves:
+        old, size = place[path][:2], place[path][2]
+        assert (shard, offset) < old
+        assert not any(s == shard and offset < o + n and o < offset + size for p, (s, o, n) in place.items() if p != path), path
+        place[path] = (shard, offset, size)
+    end = lambda x: max((s, o + n) for s, o, n in x)
+    assert len(moves) > 10 and end(place.values()) < end((s, o, n) for _, s, o, n in rows)
+    assert layout.defrag_quick(files, seconds=0) == []
 
 
 def test_sequences(spark):
     rows = [(f"v/shot{s}_{i:03}.png", 0, 0, 1) for s in (1, 2) for i in range(6)] + [("v/one.png", 0, 0, 1), ("w/a1.x", 0, 0, 1)]
     got = {(r["parent"], r["pattern"], r["n"], r["first"], r["last"]) for r in listing.sequences(make(spark, rows)).collect()}
-    assert got == {("v", "shot1_*.png", 6, "000", "005"), ("v", "shot2_*.png", 6, "000", "005")}
+    one = [("v", "one.png", 1, None, None), ("w", "a1.x", 1, None, None)]
+    assert got == {("v", "shot1_***.png", 6, "000", "005"), ("v", "shot2_***.png", 6, "000", "005"), *one}
+    # a tie stars the first number; fewer than five that agree in the others stand by themselves
+    rows = [(f"t/{i}-{5 - i}.x", 0, 0, 1) for i in range(5)] + [(f"u/{i % 5}_{i // 5}.x", 0, 0, 1) for i in range(8)]
+    got = {tuple(r) for r in listing.sequences(make(spark, rows)).collect()}
+    assert got == {*(("t", f"{i}-{5 - i}.x", 1, None, None) for i in range(5)), ("u", "*_0.x", 5, "0", "4"), *(("u", f"{i}_1.x", 1, None, None) for i in range(3))}
 
 
 def test_walk_and_tree(spark):
@@ -132,6 +167,29 @@ def test_merge(spark):
     assert got == {"x": (0, 0, 2), "a.txt": (0, 2, 5)}
     got = {r["path"]: r["shard"] for r in algebra.merge_indexes(target, source, "p").collect()}
     assert got == {"x": 0, "p/a.txt": 1, "p/x": 1}
+    with pytest.raises(EntryExists):
+        algebra.merge_indexes(target, source, ignore_duplicates=False)
+
+
+def test_merge_conflicts(spark):
+    target, source = make(spark, [("a/b", 0, 0, 1), ("f", 0, 1, 1)]), make(spark, [("a", 0, 0, 1), ("f/x", 0, 1, 1)])
+    both = [source, stats.complete_dirs(source), target, stats.complete_dirs(target)]
+    assert {tuple(r) for r in algebra.conflicts(*both).collect()} == {("file over directory", "a"), ("directory over file", "f")}
+    assert algebra.conflicts(*both, prefix="new/one").isEmpty()
+    assert {tuple(r) for r in algebra.conflicts(*both, prefix="f/deep").collect()} == {("file over prefix", "f")}
+    with pytest.raises(MergeConflict):
+        algebra.check_conflicts(*both, prefix="a/b")
+
+
+def test_merged_directories(spark):
+    """Counts add up, modes are joined, the source's owner and the later time stay; what one side has alone is as it was."""
+    a, b = stats.complete_dirs(make(spark, [("d/x", 0, 0, 3), ("e/y", 0, 3, 1)])), stats.complete_dirs(make(spark, [("x", 0, 0, 4)]))
+    a = algebra.set_meta(a, "d", mode=0o40700, uid=1, gid=None, mtime_ns=9)
+    b = algebra.set_meta(b, "", mode=0o40055, uid=2, mtime_ns=5)
+    got = {r["path"]: r for r in algebra.merge_dirs(a, b, "d").collect()}
+    assert set(got) == {"", "d", "e"}
+    d = got["d"]
+    assert (d["num_files"], d["size_tree"], d["mode"], d["uid"], d["mtime_ns"]) == (2, 7, 0o40755, 2, 9) and got["e"]["size_tree"] == 1
 
 
 def test_checks_and_renames(spark):
