@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (large) or smaller neighbours to the smallest of them and itself."""
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """Links each node's larger (large) or smaller neighbours to the smallest of them and itself. few: there are so few edges
+    that a row a node may be broadcast, so that a hub's rows stay where they are."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    out = both.join(low, "u")
+    out = both.join(F.broadcast(low) if few else low, "u")
     if large:
         return out.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     return out.filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v")))
@@ -36,8 +37,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == seen or not now[0]:
             break
-        seen, before = now, state
-        state = common.stored(_star(_star(state, True).filter("u <> v").distinct(), False).filter("u <> v").distinct(), "links")
+        seen, before, few = now, state, 2 * now[0] <= common.BROADCAST_ROWS
+        state = common.stored(_star(_star(state, True, few).filter("u <> v").distinct(), False, few).filter("u <> v").distinct(), "links")
         common.discard(before)
     else:
         raise RuntimeError(f"no fixed point in {rounds} rounds")

@@ -41,8 +41,9 @@ from .rolling import U, mix, stretches
 
 #: Distinct fingerprints of a key from which it goes another way; members of small keys that are compared at once.
 HOT, POOL, HELD = 8192, 32_768, 32_768
-#: Pairs of the least similarity that no key finds, at most, by calculation; least bits of a key.
-MISSED, KEY_BITS = 0.0007, 16
+#: Pairs of the least similarity that no key finds, at most, by calculation; least bits of a key, and by how many they stay below
+#: the logarithm of the number of fingerprints (a key has 64 members on average: comparing those costs less than more tables).
+MISSED, KEY_BITS, BELOW = 0.0007, 12, 6
 #: Of 256 bits: similarity 0.8 of shingle sets lets 39 differ, give or take 6; candidates may differ by four times that more.
 NEAR_BITS, NEAR_RADIUS = 256, 64
 #: Least share of common shingles among all of two sets, as a fraction. Shingles of a set that has keys of its own.
@@ -239,7 +240,7 @@ def link_exact(fps: DataFrame) -> DataFrame:
 
 def keys_for(n: int) -> tuple[int, int]:
     """The bits of a key and the number of tables for n fingerprints."""
-    bits = min(32, max(KEY_BITS, math.ceil(math.log2(max(n, 1))) - 2))
+    bits = min(32, max(KEY_BITS, math.ceil(math.log2(max(n, 1))) - BELOW))
     share, whole = SIMILAR
     agree = (1 - math.acos(2 * share / (whole + share)) / math.pi) ** bits
     return bits, math.ceil(math.log(MISSED) / math.log1p(-agree))
