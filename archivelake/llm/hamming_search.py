@@ -90,12 +90,23 @@ def _verify(k: int):
     return run
 
 
+def _dealt(keyed: DataFrame, value: str, n: int) -> DataFrame:
+    """keyed (key and value) with part: a key has as many parts as chunks fill, most keys one. n: most rows that a key can have."""
+    if n <= CHUNK:
+        return keyed.withColumn("part", F.lit(0))
+    hot = keyed.groupBy("key").count().filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).alias("parts"))
+    hot = common.joinable(common.stored(hot, "hot-keys"))
+    return keyed.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64(value), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
 def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """index and queries (id, code) -> query_id, rank (from 1), vec_id, distance: each query's k nearest rows of the index by
-    Hamming distance, ties by the lower id; all of them where the index has fewer. An empty index gives no rows."""
+    Hamming distance, ties by the lower id (null ids last); all of them where the index has fewer. An empty index or no queries
+    give no rows. Repeated rows of the index each have a rank; a query row that is repeated is answered as often. Other columns
+    of both are left out."""
     entries = common.stored(_lowest(index, k), "code-entries")
     keyed = entries.select("code").mapInArrow(_buckets, "key long, code long")
-    buckets = keyed.groupBy("key", F.pmod(F.xxhash64("code"), F.lit(max(1, -(-entries.count() // CHUNK)))).alias("part")).agg(F.collect_list("code").alias("codes"))
+    buckets = _dealt(keyed, "code", entries.count()).groupBy("key", "part").agg(F.collect_list("code").alias("codes"))
     buckets = common.stored(buckets.select("key", "codes"), "code-buckets")
     open_ = common.stored(queries.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS).cast("long")), "open-queries")
     best = None
@@ -105,7 +116,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not n:
             break
         asked = open_.mapInArrow(_probes(radius), "key long, query long, bound long")
-        asked = asked.groupBy("key", F.pmod(F.xxhash64("query"), F.lit(-(-n // CHUNK))).alias("part")).agg(F.collect_list(F.struct("query", "bound")).alias("asked"))
+        asked = _dealt(asked, "query", n).groupBy("key", "part").agg(F.collect_list(F.struct("query", "bound")).alias("asked"))
         # packed rows are far larger in memory than on disk: never a broadcast by estimated size
         seen = asked.join(buckets.hint("merge"), "key").select("asked", "codes").mapInArrow(_verify(k), "query long, code long, distance long")
         seen = seen.distinct().join(entries.select("code", F.size("ids").alias("n")).hint("merge"), "code")
@@ -133,7 +144,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 nearest codes of every vector whose id is divisible by 50, among all vectors, itself included."""
+    """The 10 nearest codes of every vector whose id is divisible by 50, among all vectors, itself included. Null vectors are no
+    part of it; short ones, ties and repeated rows as in ``codes`` and ``top_k``; further columns, whatever their names, play no
+    part."""
     rows = codes(common.table(spark, sf_dir, "embeddings"))
     return top_k(rows, rows.filter(F.col("id") % EVERY == 0))
 
