@@ -141,8 +141,9 @@ def _merged(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, kept_text.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES, keep: tuple[str, ...] = (), cut: bool = True) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans, kept_text (the last two are
+    null unless cut).
 
     spans are byte ranges [begin, end) of the UTF-8 text, from the first to the last word of each run of hit words;
     kept_text is the text without them (null where there are none: the text itself). A null text has no words. An item
@@ -177,8 +178,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
                     continue
                 spans, kept = [], []
                 for i, rs in enumerate(ranges):
-                    if not rs:
-                        spans.append([])
+                    if not rs or not cut:
+                        spans.append([] if cut else None)
                         kept.append(None)
                         continue
                     text = batch.column("text")[i].as_py()
@@ -211,12 +212,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated."""
-    found = decontaminate(docs, benchmark, keep=tuple(docs.columns)).filter(~F.col("contaminated"))
+    found = decontaminate(docs, benchmark, keep=tuple(docs.columns), cut=False).filter(~F.col("contaminated"))
     return found.select(*[F.col(f"_{c}").alias(c) for c in docs.columns])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of documents; nulls, empty texts, repeated rows and
+    ids, empty tables and further columns as in ``decontaminate``."""
+    found = decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), cut=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

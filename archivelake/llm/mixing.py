@@ -145,4 +145,6 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of each row of documents; nulls, ties, repeated rows, empty tables and further
+    columns as in ``mix``."""
     return mix(common.table(spark, sf_dir, "documents"))

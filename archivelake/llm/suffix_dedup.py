@@ -334,5 +334,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True, hot: int = HOT) -> DataFr
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of documents; nulls, long texts, repeated rows, empty tables
+    and further columns as in ``remove_repeats``."""
     found = remove_repeats(common.table(spark, sf_dir, "documents"), keep=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -370,10 +370,24 @@ def test_deep_shallow():
 
 
 def test_quotes():
-    body, quotes = chat.split_quotes("Ann wrote:\n> hello there\n>> older, deeper\n\nmy answer\n> > spaced\nend")
-    assert body == "my answer\nend" and quotes == [(1, "hello there"), (2, "older, deeper"), (2, "spaced")]
-    assert chat.split_quotes(None) == ("", []) and chat.line_hash(" Héllo,  WORLD! ") == chat.line_hash("héllo world")
-    assert chat.line_hash("> !!") is None
+    body, quotes, places = chat.split_quotes("Ann wrote:\n> hello there\n>> older, deeper\n\nmy answer\n> > spaced\nend")
+    assert body == "my answer\nend" and quotes == [(1, "hello there"), (2, "older, deeper"), (2, "spaced")] and places == [1, 2, 5]
+    assert chat.split_quotes(None) == ("", [], []) and chat.words_of(" Héllo,  WORLD! ") == ["héllo", "world"]
+    # a passage is the same however its lines are broken; one without words is none
+    wide, narrow = chat.units(["one two three four", "five."]), chat.units(["One two", "three", "four, five"])
+    assert set(wide) & set(narrow) == {chat.passage_hash(["one", "two", "three", "four", "five"])} and chat.units(["!!", ""]) == {}
+    assert [x[:2] for x in chat.quoted_units(quotes, places)] == [(0, 1), (1, 2), (2, 2)]
+
+
+def test_passages_link_where_lines_do_not(spark):
+    """Re-wrapped and cut quotes; a common short line does not outweigh a passage."""
+    rows = [
+        (0, "A first message of several words\nthat goes on here.\n\nAnd a second paragraph of it."), (1, "yes"), (2, "something else entirely, said in between\nyes"),
+        (3, "> A first message of\n> several words that goes\n> on here.\nAgreed."), (4, "> And a second paragraph of it.\n> yes\nFine."), (5, "> yes\nWhy?"), (6, "> A first message of several words\n> [...]\ncut"),
+    ]
+    got = {r["turn"]: r for r in rows_of(chat.link_messages(spark.createDataFrame([(1, t, "u", x) for t, x in rows], "conv_id long, turn long, role string, text string")))}
+    assert [got[t]["parent_turn"] for t in range(7)] == [None, 0, 1, 0, 0, 1, 0]
+    assert got[3]["n_quoted"] == got[3]["n_linked"] == 1
 
 
 def test_reply_order(spark, none):
@@ -423,6 +437,19 @@ def test_reply_order_at_random(spark, monkeypatch, bucket):
     assert sorted(got, key=lambda t: got[t]["position"]) == order
 
 
+def test_deep_threads_and_hot_turns(spark):
+    """Two interleaved threads nest as deep as there are messages; all messages of a conversation on one turn keep one order."""
+    rows = [(1, t, "u", (f"> said in {t - 2}\n" if t > 1 else "") + f"said in {t}") for t in range(300)] + [(2, None, "u", f"note {i}") for i in range(50)] + [(None, 5, "u", f"note {i}") for i in range(50)]
+    got = rows_of(chat.link_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)))
+    one = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])
+    assert [r["position"] for r in one] == list(range(1, 301)) and all(r["parent_turn"] == r["turn"] - 2 for r in one if r["turn"] > 1)
+    # turn 1 goes on from turn 0; then 3, 5, ... below it, and last the even turns
+    assert [r["turn"] for r in one] == [0, 1, *range(3, 300, 2), *range(2, 300, 2)]
+    for c in (2, None):
+        some = sorted((r for r in got if r["conv_id"] == c), key=lambda r: r["position"])
+        assert [r["seq"] for r in some] == [r["position"] for r in some] == list(range(1, 51)) and {r["body"] for r in some} == {f"note {i}" for i in range(50)}
+
+
 # ---------------------------------------------------------------- 6
 
 
@@ -532,6 +559,47 @@ def test_warc(spark, tmp_path):
     assert sum(f["n_records"] for f in files) == 4 and whole.count(b"WARC/1.1\r\n") == 4
 
 
+def test_bad_records(spark):
+    """Each gives a row, with an error, and what could be read of it."""
+    record = lambda http, head=(): warc.make_record("response", [("WARC-Record-ID", "<x>"), *head], http)
+    ok = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    cases = [
+        (b"", "bad record length", b""), (record(ok + b"\r\n<p>a</p>"), None, b"a"), (record(ok + b"\r\n<p>a</p>").replace(b"Content-Length: ", b"Content-Length: x"), "bad record length", b"a"),
+        (record(ok + b"\r\n<p>a</p>")[:-12], "bad record length", None), (record(ok + b"Transfer-Encoding: chunked\r\n\r\nzz\r\n<p>a</p>"), "bad chunk size", b"zz\na"),
+        (record(ok + b"Transfer-Encoding: chunked\r\n\r\n4\r\n<p>a\r\n9\r\nb"), "cut-off chunk", b"ab"), (record(ok + b"Content-Encoding: gzip\r\n\r\nplain"), "not decoded: gzip", b"plain"),
+        (record(ok + b"Content-Encoding: br\r\n\r\nplain"), "not decoded: br", b"plain"), (record(ok + b"Content-Encoding: deflate\r\n\r\n" + zlib.compress(b"<p>d")[2:-4]), None, b"d"),
+        (record(ok + b"Content-Encoding: gzip\r\nContent-Encoding: deflate\r\n\r\n" + zlib.compress(__import__("gzip").compress(b"<p>g"))), None, b"g"), (None, None, None), (record(b"no http at all"), None, b""),
+    ]
+    frame = spark.createDataFrame([(i, None if c[0] is None else bytearray(c[0]), "x") for i, c in enumerate(cases)], "page_id long, record binary, error string")
+    got = {r["page_id"]: r for r in rows_of(warc.derivatives(frame))}
+    assert set(got) == {i for i, c in enumerate(cases) if c[0] is not None}
+    for i, r in got.items():
+        assert r["error"] == cases[i][1], i
+        assert cases[i][2] is None or warc.read_record(bytes(r["conversion"]))[1] == cases[i][2], i
+    assert warc.derivatives(frame.filter("false")).count() == 0
+
+
+def test_warc_files_are_read_back(spark, tmp_path):
+    import gzip
+
+    pages = [(i, f"http://a.example/{i}", f"<p>page {i} {'long ' * (i % 3 * 40000)}</p>") for i in range(12)]
+    source = warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    warc.write_warc(source, f"file://{tmp_path}/w").collect()
+    plain = b"".join(bytes(r["record"]) for r in rows_of(source.filter("page_id < 4")))
+    (tmp_path / "w" / "plain.warc").write_bytes(plain)
+    (tmp_path / "w" / "cut.warc.gz").write_bytes(gzip.compress(plain)[:-60])
+    (tmp_path / "w" / "none.warc").write_bytes(b"")
+    (tmp_path / "w" / "odd.warc").write_bytes(b"not a record\r\n\r\n")
+    got = rows_of(warc.read_warc(spark, f"{tmp_path}/w/*.warc*"))
+    whole = Counter(bytes(r["record"]) for r in got if r["file"].endswith(".gz") and "cut" not in r["file"])
+    assert whole == Counter(bytes(r["record"]) for r in rows_of(source)) and all(r["type"] == "response" for r in got if r["error"] is None)
+    assert [bytes(r["record"]) for r in got if "plain" in r["file"]] == [bytes(r["record"]) for r in rows_of(source.filter("page_id < 4"))]
+    assert [r["error"] for r in got if "odd" in r["file"]] == ["no record"] and not any("none" in r["file"] for r in got)
+    assert sum(r["error"] is not None for r in got if "cut" in r["file"]) == 1
+    again = warc.derivatives(warc.read_warc(spark, f"{tmp_path}/w/part*").filter("type = 'response'"), key="number")
+    assert again.count() == 12 and again.filter("error is not null").isEmpty()
+
+
 def test_warc_query(spark, tmp_path):
     """The query's identifiers are those of the records, behind long fields as well."""
     pages = [(1, "http://a.example/x", "<p>one</p>\r\n\r\nWARC-Record-ID: no\r\n"), (2, None, None), (3, "http://a.example/" + "é/" * 3000, "<p>three</p>")]
