@@ -213,7 +213,7 @@ def ncdu(spark, d):
     return listing.shares(views.doc_files(spark, d), views.doc_dirs(spark, d)).select("name", "size", F.round("share", 9).alias("share"))
 
 
-@query("W12_lss", f"WITH {_DOC} SELECT parent, '*.txt' AS pattern, count(*) AS n, min(regexp_extract(path, '([0-9]+)\\.txt$', 1)) AS first, max(regexp_extract(path, '([0-9]+)\\.txt$', 1)) AS last FROM doc_files GROUP BY parent HAVING count(*) >= 5")
+@query("W12_lss", f"WITH {_DOC} SELECT parent, '********.txt' AS pattern, count(*) AS n, min(regexp_extract(path, '([0-9]+)\\.txt$', 1)) AS first, max(regexp_extract(path, '([0-9]+)\\.txt$', 1)) AS last FROM doc_files GROUP BY parent HAVING count(*) >= 5 UNION ALL SELECT parent, regexp_replace(path, '^.*/', ''), 1, NULL, NULL FROM doc_files WHERE parent IN (SELECT parent FROM doc_files GROUP BY parent HAVING count(*) < 5)")
 def lss(spark, d):
     return listing.sequences(views.doc_files(spark, d))
 
@@ -401,7 +401,19 @@ def verify_stats(spark, d):
     return stats.index_problems(files, bad)
 
 
-@query("V1_crc32c")
+def _crc32c_sql() -> str:
+    """CRC32C a half byte at a time: hexadecimal digits, the lower one of each byte first, through a table of 16."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
+        table.append(n)
+    digits = "CASE WHEN strlen(text) = 0 THEN [] ELSE list_transform(string_split(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), ''), lambda c: (instr('0123456789ABCDEF', c) - 1)::BIGINT) END"
+    step = f"lambda c, x: xor(({table}::BIGINT[])[xor(c & 15, x) + 1], c >> 4)"
+    return f"WITH {_DOC} SELECT path, xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), {step}), 4294967295::BIGINT)::BIGINT AS crc32c FROM doc_files JOIN documents USING (doc_id)"
+
+
+@query("V1_crc32c", _crc32c_sql())
 def crc32c(spark, d):
     return integrity.checksums(views.doc_files(spark, d, content=True))
 
@@ -419,3 +431,6 @@ def attach_stats(spark, d):
 @query("O1_order_path", f"WITH {_DOC} SELECT path, row_number() OVER (PARTITION BY parent ORDER BY path)::INTEGER AS place FROM doc_files")
 def order_path(spark, d):
     return views.doc_files(spark, d).select("path", F.row_number().over(Window.partitionBy("parent").orderBy("path")).alias("place"))
+
+
+from . import archive_queries  # noqa: E402, F401  registers its queries here

@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.paths import normalize
-from .stores import open_uri
+from .stores import file_system, open_uri, qualified
 
 SCHEMA = "archive string, path string, type string, offset long, size long, mode int, uid int, gid int, mtime_ns long, content binary"
 PACKED = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz", ".zip")
@@ -123,7 +123,11 @@ def write_packed(both: DataFrame, target, kind: str = "tar", wrapper: str = "")
     rows = both.filter(F.col("path") != "").withColumn("path", with_prefix(F.col("path"), wrapper)).orderBy("path")
     rows = rows.select("type", "path", "mode", "uid", "gid", "mtime_ns", "content")
     n = 0
-    stream = open(target, "wb") if isinstance(target, str) else target
+    if isinstance(target, str):
+        store, path = file_system(qualified(both.sparkSession, target))
+        stream = store.open_output_stream(path, compression=None)
+    else:
+        stream = target
     try:
         if kind == "zip":
             with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as z:
