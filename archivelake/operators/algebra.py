@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs, paths
-from ..schema import DirectoryNotEmpty, EntryExists, EntryNotFound, IsADirectory, MergeConflict, NotADirectory
+from ..schema import NO_LIMIT, DirectoryNotEmpty, EntryExists, EntryNotFound, FileTooLarge, IsADirectory, MergeConflict, NotADirectory
 from . import layout, stats
 
 
@@ -30,15 +30,25 @@ def check_conflicts(source_files: DataFrame, source_dirs: DataFrame, files: Data
         raise MergeConflict(f"{row[0]}: {row[1]}")
 
 
-def check_new(files: DataFrame, dirs: DataFrame, new: DataFrame, exist_ok: bool = False) -> DataFrame:
-    """An action: fails if new files clash with what is there; returns those that are new."""
-    if row := new.select("path").join(dirs.select("path"), "path", "left_semi").first():
-        raise IsADirectory(row[0])
+def check_new(files: DataFrame, dirs: DataFrame, new: DataFrame, exist_ok: bool = False, limit: int = NO_LIMIT) -> DataFrame:
+    """An action: fails if new files (path, and size where there is a limit) clash with each other or with what is there, or are
+    too large; returns those that are new. All is looked for in one job."""
+    at = new.select("path")
     above = new.select(F.explode(paths.ancestors(F.col("path"))).alias("path")).distinct()
-    if row := above.join(files.select("path"), "path", "left_semi").first():
-        raise NotADirectory(row[0])
-    if not exist_ok and (row := new.select("path").join(files.select("path"), "path", "left_semi").first()):
-        raise EntryExists(row[0])
+    found = {EntryExists: [stats.repeated_paths(at)], IsADirectory: [at.join(dirs.select("path"), "path", "left_semi")], NotADirectory: [above.join(files.select("path"), "path", "left_semi")]}
+    if not exist_ok:
+        found[EntryExists].append(at.join(files.select("path"), "path", "left_semi"))
+    if limit < NO_LIMIT:
+        found[FileTooLarge] = [new.filter(F.col("size") > limit).select("path")]
+    kinds = list(found)
+    wrong = None
+    for k, kind in enumerate(kinds):
+        for rows in found[kind]:
+            rows = rows.select(F.lit(k).alias("kind"), "path")
+            wrong = rows if wrong is None else wrong.unionByName(rows)
+    first = wrong.agg(F.min(F.struct("kind", "path"))).first()[0]
+    if first is not None:
+        raise kinds[first["kind"]](first["path"])
     return new.join(files.select("path"), "path", "left_anti")
 
 

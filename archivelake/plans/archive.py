@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import globs, paths
 from ..functions.codecs import Codecs
 from ..operators import algebra, integrity, layout, listing, lookup, stats, sync
-from ..schema import DIRS, FILE_COLUMNS, FILES, NO_LIMIT, SCHEMA_VERSION, ArchiveError, EntryExists, EntryNotFound, FileTooLarge
+from ..schema import DIRS, FILE_COLUMNS, FILES, NO_LIMIT, SCHEMA_VERSION, ArchiveError, EntryExists, EntryNotFound
 from ..sources import packed, shards, stores, trees
 
 MODES = {"r", "r+", "w+", "x+", "a+", "ax+"}
@@ -365,13 +365,7 @@ class Archive:
         self._may()
         kept = self.files if gone is None else stores.stored(self.files.join(gone.select("path"), "path", "left_anti"), "kept")
         new = stores.stored(new, "new")
-        twice = new.groupBy("path").count().filter("count > 1").first()
-        if twice:
-            raise EntryExists(twice[0])
-        new = algebra.check_new(kept, self.dirs, new, exist_ok)
-        over = new.filter(F.col("size") > self.limit).select("path").first()
-        if over:
-            raise FileTooLarge(over[0])
+        new = algebra.check_new(kept, self.dirs, new, exist_ok, self.limit)
         # new shards only: those that are there are never written again
         first = self._next_shard()
         placed = layout.place(new, self.limit, list(order))
