@@ -50,9 +50,9 @@ _scopes: list[tuple[str, list[str]]] = []
 
 
 @contextmanager
-def scope(spark: SparkSession, root: str) -> Iterator[None]:
-    """Intermediate tables made inside go below root, and go away with the end of the block."""
-    _scopes.append((root, []))
+def scope(spark: SparkSession, root: str | None = None) -> Iterator[None]:
+    """Intermediate tables made inside go below root (or where they go anyway), and go away with the end of the block."""
+    _scopes.append((root or (_scopes[-1][0] if _scopes else shared_root(spark)), []))
     try:
         yield
     finally:
@@ -60,6 +60,15 @@ def scope(spark: SparkSession, root: str) -> Iterator[None]:
             remove(spark, uri)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A stored table outlives the scope that it was made in; a scope around that one, if any, takes it over."""
+    if _scopes:
+        _scopes[-1][1].remove(df.stored_path)
+        if len(_scopes) > 1:
+            _scopes[-2][1].append(df.stored_path)
+    return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table in shared storage: cuts the lineage, and a lost executor costs one task's reread."""
     path = new_path(df.sparkSession, name)
@@ -73,6 +82,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes what stored() wrote, once nothing reads it any more."""
+    for _, held in _scopes:
+        if df.stored_path in held:
+            held.remove(df.stored_path)
     remove(df.sparkSession, df.stored_path)
 
 
