@@ -328,12 +328,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> D
     words, fingerprint zero, and are linked like any other. Rows with the same doc_id are kept as rows of their own. An empty
     table gives no rows. Columns of docs other than doc_id and text are left out, whatever their names.
     """
+    with common.scope(docs.sparkSession):
+        rows, of_class = map(common.keep, _classes(docs, shingle, exact))
+    return rows.join(of_class, F.col("fp") == F.col("class")).select("doc_id", "h", "fp", "component_id", "component")
+
+
+def _classes(docs: DataFrame, shingle: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: each row's doc_id, h and fp, and each fp's component."""
     rows = common.stored(fingerprints(docs, shingle) if exact else sketches(docs, shingle), "fingerprints")
     if exact:
         classes = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
         links = common.stored(link_exact(classes), "near-links")
     else:
-        sets, rows = rows.select("name", "members"), rows.select("doc_id", "h", F.col("name").alias("fp"), "n", "first")
+        sets, rows = rows.select("name", "members"), common.stored(rows.select("doc_id", "h", F.col("name").alias("fp"), "n", "first"), "fingerprints")
         classes = common.stored(rows.groupBy("fp", "n", "first").agg(F.min("doc_id").alias("low")), "classes")
         print_of = F.substring("fp", 1, NEAR_BITS // 8)
         near = components(common.stored(link_near(classes.select(print_of.alias("fp"), "first").distinct()), "near-candidates"))
@@ -344,22 +351,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, exact: bool = False) -> D
     member = components(links).select(F.col("node.fp").alias("_fp"), F.col("component.fp").alias("_component"), F.col("component.low").alias("_low"), F.lit(True).alias("_linked"))
     of_class = classes.join(member, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("class"), F.coalesce("_component", "fp").alias("component"), F.when(F.col("_linked"), F.col("_low")).otherwise(F.col("low")).alias("component_id"))
     of_class = common.stored(of_class, "class-components")
-    return rows.join(of_class, F.col("fp") == F.col("class")).select("doc_id", "h", "fp", "component_id", "component")
+    return rows, of_class
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of docs of each component: that of the lowest doc_id (nulls last), then of the lowest hash of its text. Of rows
     that repeat id and text, one."""
-    found = common.stored(near_duplicates(docs, shingle), "near-components")
-    # a component's row is one with its doc_id; several only where an id (or null) is repeated
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = found.filter(own).groupBy("component").agg(F.min("h").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("component").alias("_of"), "_first")
-    first = common.stored(first, "near-repeated")
-    later = found.filter(own).join(common.joinable(first), F.col("component") == F.col("_of")).filter(F.col("h") != F.col("_first"))
-    dropped = found.filter(~own).select("doc_id", "h").unionByName(later.select("doc_id", "h"))
-    dropped = common.stored(dropped.distinct(), "near-dropped").select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_is"))
+    with common.scope(docs.sparkSession):
+        found = common.stored(near_duplicates(docs, shingle), "near-components")
+        # a component's row is one with its doc_id; several only where an id (or null) is repeated
+        own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+        first = found.filter(own).groupBy("component").agg(F.min("h").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("component").alias("_of"), "_first")
+        first = common.stored(first, "near-repeated")
+        later = found.filter(own).join(common.joinable(first), F.col("component") == F.col("_of")).filter(F.col("h") != F.col("_first"))
+        dropped = found.filter(~own).select("doc_id", "h").unionByName(later.select("doc_id", "h"))
+        dropped = common.keep(common.stored(dropped.distinct(), "near-dropped"))
+        repeated = not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
+    dropped = dropped.select(F.col("doc_id").alias("__near_id"), F.col("h").alias("__near_is"))
     kept = docs.withColumn("__near_h", F.xxhash64("text")).join(common.joinable(dropped), F.col("doc_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_h") == F.col("__near_is")), "left_anti")
-    if not found.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+    if repeated:
         kept = common.one_of_each(kept, ["doc_id", "__near_h"])
     return kept.select(*docs.columns)
 
