@@ -49,7 +49,7 @@ NEAR_BITS, NEAR_RADIUS = 256, 64
 #: Least share of common shingles among all of two sets, as a fraction. Shingles of a set that has keys of its own.
 SIMILAR, SHORT = (4, 5), 40
 #: Sets and shingles in a run of a large group's members; every two runs are compared in a task of their own.
-RUN_SETS, RUN_SHINGLES = 2048, 2_000_000
+RUN_SETS, RUN_SHINGLES = 512, 2_000_000
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 with seed 42 of each shingle. Words are cut at ASCII white space, A-Z in lower case; fewer words than shingle are
