@@ -19,10 +19,15 @@ def qualified(spark: SparkSession, uri: str) -> str:
 
 
 def file_system(uri: str):
-    """The pyarrow file system of a URI and the path in it; plain paths are local."""
+    """The pyarrow file system of a URI and the path in it; plain paths are local. Paths are taken as they are, unescaped."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    scheme, mark, path = uri.partition("://")
+    if not mark or scheme == "file":
+        return fs.LocalFileSystem(), path if mark else uri
+    return fs.FileSystem.from_uri(quote(uri, safe="/:@?&=+,;~"))
 
 
 def open_uri(uri: str):

@@ -22,7 +22,7 @@ CONTENTS = {"x.txt": b"hello", "a/y z+1.txt": bytes(range(256)), "a/b/z.json": b
 
 @pytest.fixture
 def archive(spark, tmp_path):
-    out = Archive(spark, str(tmp_path / "one"), "x+", shard_size_limit=260)
+    out = Archive(spark, str(tmp_path / "one é%20"), "x+", shard_size_limit=260)
     out.add(spark.createDataFrame([(k, bytearray(v)) for k, v in CONTENTS.items()], "path string, content binary"))
     return out
 
