@@ -258,15 +258,16 @@ def read_warc(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str, column: str = "record") -> DataFrame:
-    """One gzipped WARC file a partition, a member a record, under folder (any URI that pyarrow's file systems open and all
+    """One gzipped WARC file a partition, a member a record, under folder (on a store that pyarrow's file systems open and all
     executors reach). A file appears whole or not at all and a second run of a task replaces it. Returns file and n_records."""
 
+    folder = stores.qualified(records.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = stores.file_system(folder)
         store.create_dir(root, recursive=True)
         name, n = f"{root}/part-{task.partitionId():05d}.warc.gz", 0
         with store.open_output_stream(f"{name}.{task.taskAttemptId()}", compression=None) as out:
