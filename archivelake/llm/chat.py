@@ -90,6 +90,8 @@ def quoted_units(quotes: list[tuple[int, str]], places: list[int]) -> list[tuple
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over conv_id, turn, role, text, bucket in order: bodies and hashes, and n, a row's number in its conversation's part."""
+    n, last = 0, ()
     quote = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("line", pa.int64()), ("words", pa.int32())]))
     for batch in common.pieces(batches):
         bodies, own, quoted = [], [], []
@@ -98,7 +100,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bodies.append(body)
             own.append(sorted(units(body.split("\n"))))
             quoted.append([dict(zip(("passage", "level", "line", "words"), x)) for x in quoted_units(quotes, places)])
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(bodies, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(quoted, quote)], ["conv_id", "turn", "role", "body", "own", "quotes"])
+        numbers = []
+        for conversation in batch.column(0).to_pylist():
+            n, last = n + 1 if (conversation,) == last else 1, (conversation,)
+            numbers.append(n)
+        arrays = [*(batch.column(i) for i in range(3)), pa.array(bodies, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(quoted, quote), batch.column(4), pa.array(numbers, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "role", "body", "own", "quotes", "bucket", "n"])
 
 
 def _offsets(branches: DataFrame) -> DataFrame:
@@ -130,17 +137,18 @@ def link_messages(conversations: DataFrame) -> DataFrame:
     same turn are ordered by role and text; repeated rows each count. An empty table gives no rows. Other columns are left out,
     whatever their names.
     """
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("unknown")).alias("role"), "text")
-    rows = rows.mapInArrow(_parsed, "conv_id long, turn long, role string, body string, own array<long>, quotes array<struct<passage:int,level:int,line:long,words:int>>")
     # range partitions in the order of messages: however hot a conversation or a turn is, its rows are in many
     order = ["conv_id", "turn", "role", "_h"]
-    rows = common.stored(rows.withColumn("_h", F.xxhash64("body", "own", "quotes")).repartitionByRange(*order).withColumn("bucket", F.spark_partition_id()), "messages")
-    within = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "_h")
-    rows = rows.withColumn("n", F.row_number().over(within)).drop("_h")
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("unknown")).alias("role"), "text")
+    rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("bucket", F.spark_partition_id()).drop("_h")
+    rows = rows.mapInArrow(_parsed, "conv_id long, turn long, role string, body string, own array<long>, quotes array<struct<passage:int,level:int,line:long,words:int>>, bucket int, n long")
     rows = common.stored(rows, "messages")
     base = rows.groupBy("conv_id", "bucket").count().select(F.col("conv_id").alias("_c"), F.col("bucket").alias("_b"), F.coalesce(F.sum("count").over(Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = common.joinable(common.stored(base, "message-counts"))
     rows = rows.join(base, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("bucket").eqNullSafe(F.col("_b"))).withColumn("seq", F.col("base") + F.col("n")).drop("_c", "_b", "base", "n")
     rows = common.stored(rows, "messages")
+    # bodies come back at the end; until then rows are narrow
+    bodies = rows.select(F.col("conv_id").alias("_c"), F.col("seq").alias("_s"), "body")
 
     quoted = rows.select("conv_id", "seq", F.explode("quotes").alias("q")).select("conv_id", "seq", F.col("q.level").alias("level"), F.col("q.line").alias("line"), F.col("q.words").alias("words"), F.col("q.passage").alias("passage"))
     own = rows.select("conv_id", "seq", F.explode("own").alias("line"))
@@ -157,7 +165,7 @@ def link_messages(conversations: DataFrame) -> DataFrame:
 
     # a branch starts where a message does not go on from the one before it
     rows = rows.withColumn("start", F.when((F.col("seq") == 1) | (F.col("reply_to") != F.col("seq") - 1), F.col("seq"))).withColumn("_k", F.floor(F.col("seq") / BUCKET))
-    rows = common.stored(rows.select("conv_id", "turn", "role", "seq", "reply_to", F.size(F.array_distinct("quotes.passage")).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "body", "start", "_k"), "replies")
+    rows = common.stored(rows.select("conv_id", "turn", "role", "seq", "reply_to", F.size(F.array_distinct("quotes.passage")).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "start", "_k"), "replies")
     top = rows.groupBy("conv_id", "_k").agg(F.max("start").alias("start"))
     top = top.select(F.col("conv_id").alias("_c"), F.col("_k").alias("_b"), F.max("start").over(Window.partitionBy("conv_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)).alias("so_far"))
     running = F.max("start").over(Window.partitionBy("conv_id", "_k").orderBy("seq"))
@@ -180,6 +188,7 @@ def link_messages(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", key).join(offsets, (F.col("key") == F.col("_c")) & (F.col("branch") == F.col("_b"))).withColumn("position", F.col("offset") + F.col("seq") - F.col("branch") + 1).drop("key")
     turns = rows.select(F.col("conv_id").alias("_p"), F.col("seq").alias("_q"), F.col("turn").alias("parent_turn"))
     rows = rows.drop("_c", "_b", "offset", "branch").join(turns, F.col("conv_id").eqNullSafe(F.col("_p")) & (F.col("reply_to") == F.col("_q")), "left")
+    rows = rows.join(bodies, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("seq") == F.col("_s")))
     return rows.select("conv_id", "turn", "role", "seq", "reply_to", "parent_turn", "n_quoted", "n_linked", "position", "body")
 
 
