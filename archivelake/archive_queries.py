@@ -257,10 +257,10 @@ def completion(spark, d):
     return listing.complete(a.files, a.dirs, "src2/en/000")
 
 
-@query("W15_modes", f"WITH {_DOC} SELECT path, CASE WHEN size % 2 = 0 THEN '-rw-r--r--' ELSE '-rwxr-x---' END AS mode, make_timestamp((mtime_ns // 1000)::BIGINT) AS modified FROM doc_files")
+@query("W15_modes", f"WITH {_DOC} SELECT path, CASE WHEN size % 2 = 0 THEN '-rw-r--r--' ELSE '-rwxr-x---' END AS mode, (mtime_ns // 1000)::BIGINT AS modified FROM doc_files")
 def modes(spark, d):
     rows = views.doc_files(spark, d).withColumn("mode", F.expr("if(size % 2 = 0, 33188, 33256)"))
-    return rows.select("path", formatting.mode_string(F.col("mode"), F.lit(False)).alias("mode"), formatting.modified(F.col("mtime_ns")).cast("timestamp_ntz").alias("modified"))
+    return rows.select("path", formatting.mode_string(F.col("mode"), F.lit(False)).alias("mode"), F.unix_micros(formatting.modified(F.col("mtime_ns"))).alias("modified"))
 
 
 @query("G0_glob_question", f"WITH {_DOC} SELECT path FROM doc_files WHERE regexp_matches(path, '^src[^/]/[^/][^/]/0000[^/]*[37]\\.txt$')")
