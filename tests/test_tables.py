@@ -78,6 +78,35 @@ def test_next_fit(spark, monkeypatch, seed, limit, alone, chunk, few):
         at += size
 
 
+def test_next_fit_of_equal_files_takes_few_jobs(spark, monkeypatch):
+    """Layouts of equal files never meet: nothing may hang on that they do."""
+    for name, value in (("ALONE", 0), ("CHUNK", 1), ("FEW", 0)):
+        monkeypatch.setattr(layout, name, value)
+    files = make(spark, [(f"{i:04}", 0, 7 * i, 7) for i in range(1000)])
+    spark.sparkContext.setJobGroup("equal files", "")
+    try:
+        got = {tuple(r) for r in layout.place(files, 100, ["offset"]).select("path", "new_shard", "new_offset").collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("equal files")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(f"{i:04}", i // 14, 7 * (i % 14)) for i in range(1000)} and len(jobs) < 40
+
+
+@pytest.mark.parametrize("alone,few", [(1000, 64), (0, 0), (0, 64)])
+def test_large_files_alone(spark, monkeypatch, alone, few):
+    for name, value in (("ALONE", alone), ("CHUNK", 1), ("FEW", few)):
+        monkeypatch.setattr(layout, name, value)
+    rows = [(f"{i:02}", 0, i, size) for i, size in enumerate([50, 3, 4, 5, 60, 70, 0, 10, 1])]
+    got = {r["path"]: (r["new_shard"], r["new_offset"]) for r in layout.place(make(spark, rows), 10, ["offset"], alone=True).collect()}
+    # an empty file stays behind the large one before it only if that is within the limit
+    shard = at = 0
+    for path, _, _, size in rows:
+        if at and at + size > 10:
+            shard, at = shard + 1, 0
+        assert got[path] == (shard, at), path
+        at += size
+
+
 def test_too_large(spark):
     with pytest.raises(FileTooLarge):
         layout.place(make(spark, ROWS), 6, ["path"])
