@@ -149,6 +149,23 @@ def test_quick_defrag_leaves_a_sound_layout(spark):
     assert layout.defrag_quick(files, seconds=0) == []
 
 
+def test_ranks_when_parts_are_evaluated_twice(spark):
+    """Every evaluation of range partitions may draw other bounds; running totals over them have to be of one of them."""
+    conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(60000).selectExpr("id * 7919 % 60013 as size")
+        real = sorted(i * 7919 % 60013 for i in range(60000))
+        picks = {f"p{i}": (i, 40) for i in range(1, 40)}
+        got = layout.at_ranks(rows, "size", picks).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [got[f"p{i}"] for i in range(1, 40)] == [real[60000 * i // 40] for i in range(1, 40)]
+
+
 def test_sequences(spark):
     rows = [(f"v/shot{s}_{i:03}.png", 0, 0, 1) for s in (1, 2) for i in range(6)] + [("v/one.png", 0, 0, 1), ("w/a1.x", 0, 0, 1)]
     got = {(r["parent"], r["pattern"], r["n"], r["first"], r["last"]) for r in listing.sequences(make(spark, rows)).collect()}
