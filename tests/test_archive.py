@@ -162,6 +162,52 @@ def test_packed(archive, spark, tmp_path, end):
         assert {bytes(r["content"]) for r in shards.read_contents(files, "", uris).collect()} == set(CONTENTS.values())
 
 
+@pytest.mark.parametrize("end,wide", [("tar", False), ("tar.gz", False), ("tar.bz2", False), ("tar.xz", False), ("zip", False), ("zip", True)])
+def test_packed_in_parts(spark, tmp_path, monkeypatch, end, wide):
+    """Entries don't pass through the driver, several tasks write and read one file, and other programs can read it."""
+    from pyspark.sql import DataFrame
+
+    if wide:
+        monkeypatch.setattr(packed, "WIDE", 0)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    long = "l/" + "é" * 150
+    rows = [("d", "k/d", None), *(("f", f"k/{i:03}.bin", bytearray([i % 251]) * (i * 37)) for i in range(120)), ("f", long, bytearray(b"x" * 70000))]
+    both = spark.createDataFrame([(*r, 0o100640 if r[0] == "f" else 0o40750, 7, 8, 1700000000123456789) for r in rows], "type string, path string, content binary, mode int, uid int, gid int, mtime_ns long")
+    target = str(tmp_path / f"p.{end}")
+    real = {"w/" + p: bytes(c) for k, p, c in rows if k == "f"}
+    with packed_conf(spark):
+        assert packed.write_packed(both, target, end, "w") == len(rows)
+    assert os.listdir(tmp_path) == [f"p.{end}"]
+    if end == "zip":
+        with zipfile.ZipFile(target) as z:
+            assert z.testzip() is None and {n: z.read(n) for n in z.namelist() if not n.endswith("/")} == real and z.namelist() == sorted(z.namelist())
+    else:
+        with tarfile.open(target) as t:
+            assert {m.name: t.extractfile(m).read() for m in t if m.isfile()} == real
+    assert {r["path"]: bytes(r["content"]) for r in packed.read_packed(spark, target).filter("type = 'f'").collect()} == real
+    whole = list(packed.entries(target, True))
+    monkeypatch.setattr(packed, "STRETCH", 2000)
+    cut = packed.stretches(target)
+    assert len(cut) > 20 or end not in ("tar", "zip")
+    assert [r for x in cut for r in packed.entries(target, True, x)] == whole
+    stream = io.BytesIO()
+    packed.write_packed(both, stream, end)
+    assert len(stream.getvalue()) > 1000
+
+
+class packed_conf:
+    """Parts of an order that stay as many as there are shuffle partitions."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def __enter__(self):
+        self.spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    def __exit__(self, *_):
+        self.spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_merge_and_attach(archive, spark, tmp_path):
     other = Archive(spark, str(tmp_path / "two"), "x+")
     other["k.txt"] = b"k"
