@@ -84,6 +84,16 @@ def test_file_objects(archive):
     assert write_index(archive.spark, read_index(archive.files)).count() == 3
 
 
+def test_without_a_limit_tasks_share_the_work(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("archivelake.plans.archive.SHARE", 100)
+    a = Archive(spark, str(tmp_path / "free"), "x+")
+    rows = {f"{i:02}": bytes([i]) * (250 if i == 7 else 30) for i in range(20)}
+    a.add(spark.createDataFrame([(k, bytearray(v)) for k, v in rows.items()], "path string, content binary"))
+    assert {r["path"]: bytes(r["content"]) for r in a.contents().collect()} == rows and a.verify().isEmpty()
+    held = a.physical_sizes()
+    assert len(held) == 8 and sum(held.values()) == sum(map(len, rows.values())) and sorted(held.values())[-2:] == [90, 250]
+
+
 def test_update_that_fails_keeps_the_old_content(archive):
     with pytest.raises(FileTooLarge):
         archive.update("x.txt", bytes(1000))
