@@ -149,6 +149,20 @@ def test_quick_defrag_leaves_a_sound_layout(spark):
     assert layout.defrag_quick(files, seconds=0) == []
 
 
+def test_quick_defrag_passes_over_many_small_gaps(spark):
+    """Each file of the tail fits only behind all the small gaps; looking at each of these for each file takes minutes."""
+    import time
+
+    n = 40000
+    front = spark.range(n).selectExpr("concat('a', id) as path", "0 as shard", "id * 3 + 1 as offset", "2L as size")
+    back = spark.range(n).selectExpr("concat('b', id) as path", "1 as shard", f"{8 * n}L + id * 5 as offset", "5L as size")
+    files = front.unionByName(back)
+    began = time.monotonic()
+    moves = layout.defrag_quick(files)
+    assert time.monotonic() - began < 40
+    assert moves[:n] == [(f"b{n - 1 - i}", 1, 5 * i) for i in range(n)]
+
+
 def test_ranks_when_parts_are_evaluated_twice(spark):
     """Every evaluation of range partitions may draw other bounds; running totals over them have to be of one of them."""
     conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
