@@ -292,3 +292,23 @@ def test_sizes_and_modes(spark):
     assert formatting.parse_size("1.5K") == 1536
     row = spark.range(1).select(formatting.mode_string(F.lit(0o100750), F.lit(False)), formatting.human_size(F.lit(1536)), formatting.modified(F.lit(1700000000123456789)).cast("string")).first()
     assert tuple(row) == ("-rwxr-x---", "1.5K", "2023-11-14 22:13:20.123456")
+
+
+def test_checksums_make_no_copies():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from archivelake.functions.checksums import crc32c_array
+
+    small = [None, b"", b"1", b"123456789", bytes(range(256)), bytes(257), b"x" * 70000]
+    plain = lambda x: None if x is None else crc32c(x)
+    assert crc32c_array(pa.array(small, pa.binary()).slice(2, 4)).to_pylist() == [plain(x) for x in small[2:6]]
+    assert crc32c_array(pa.array(small, pa.large_binary())).to_pylist() == [plain(x) for x in small]
+    assert crc32c_array(pa.array([], pa.binary())).to_pylist() == [] and crc32c_array(pa.array([None], pa.binary())).to_pylist() == [None]
+    large = pa.array([bytes([i]) * (1 << 20) for i in range(32)], pa.binary())
+    tracemalloc.start()
+    crc32c_array(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
