@@ -106,7 +106,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         from .functions import globs, paths
 
         where = globs.first_match(F.col("path"), a.rules or [], not include) & paths.in_subtree(F.col("path"), paths.normalize(a.path) if a.path else "")
-        say(trees.write_folder(archive.contents(files.filter(where)), a.target).count())
+        say(archive.extract(a.target, files.filter(where)).count())
     elif a.command == "list":
         if any(c in a.path for c in "*?["):
             rows = listing.glob_entries(files, dirs, a.path, recursive="**" in a.path).orderBy("path")

@@ -291,3 +291,30 @@ def test_command_line(spark, tmp_path):
     run("sync", tmp_path / "a", src, "--delete")
     assert run("list", tmp_path / "a", "-R").split() == ["d/y.log", "z"]
     assert run("verify", tmp_path / "a") == ""
+
+
+def test_contents_are_read_a_few_mb_at_a_time_and_not_kept(spark, tmp_path):
+    import pyarrow as pa
+
+    a = Archive(spark, str(tmp_path / "some"), "x+")
+    a.add(spark.range(60).selectExpr("concat('d', id % 3, '/', id) path", "encode(repeat(char(65 + id % 26), 500000), 'UTF-8') content"))
+    rows = a.files.orderBy("shard", "offset").toArrow().combine_chunks().to_batches()
+    read = shards.reader(rows[0].schema.names, a.root + "/data")
+    before, sizes = pa.total_allocated_bytes(), []
+    for batch in read(iter(rows)):
+        sizes.append(batch.column("content").nbytes)
+        del batch
+        assert pa.total_allocated_bytes() - before < 4 * shards.BATCH_BYTES
+    assert sum(sizes) > 30_000_000 and max(sizes) < 2 * shards.BATCH_BYTES
+
+
+def test_one_process_of_a_task_reads_and_writes(spark, archive, tmp_path, capsys):
+    target = str(tmp_path / "out ü%20")
+    rows = archive.extract(target)
+    rows.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    assert {r["path"]: r["size"] for r in rows.collect()} == {k: len(v) for k, v in CONTENTS.items()}
+    again = Archive(spark, str(tmp_path / "again"), "x+", 300)
+    again.add_folder(target)
+    assert {r["path"]: bytes(r["content"]) for r in again.contents().collect()} == CONTENTS and again.verify().isEmpty()
+    assert archive.extract(target + "2", archive.files.filter("size > 100")).select("path").collect() == [("a/y z+1.txt",)]
