@@ -318,3 +318,22 @@ def test_one_process_of_a_task_reads_and_writes(spark, archive, tmp_path, capsys
     again.add_folder(target)
     assert {r["path"]: bytes(r["content"]) for r in again.contents().collect()} == CONTENTS and again.verify().isEmpty()
     assert archive.extract(target + "2", archive.files.filter("size > 100")).select("path").collect() == [("a/y z+1.txt",)]
+
+
+def test_many_small_shards_are_not_a_task_each(spark, archive, tmp_path, monkeypatch):
+    target, seen, real = str(tmp_path / "out"), [], shards.write_shards
+    archive.extract(target).collect()
+    monkeypatch.setattr("archivelake.sources.trees.tasks", lambda *_: 2)
+    monkeypatch.setattr(shards, "write_shards", lambda placed, root, fetch=None, tasks=None: seen.append(tasks) or real(placed, root, fetch, tasks))
+    a = Archive(spark, str(tmp_path / "again"), "x+", 256)
+    a.add_folder(target)
+    assert seen == [2] and len(a.physical_sizes()) > 2 and a.verify().isEmpty()
+    assert {r["path"]: bytes(r["content"]) for r in a.contents().collect()} == CONTENTS
+
+
+def test_tasks_have_shares_that_do_not_grow(spark):
+    from archivelake.sources.trees import tasks
+
+    few = 4 * spark.sparkContext.defaultParallelism
+    assert tasks(spark, 0, 0) == tasks(spark, 1000, 3) == few
+    assert tasks(spark, 6 << 30, 1000) == 193 and tasks(spark, 1000, 3_000_000) == 301
