@@ -87,6 +87,26 @@ def test_encoder_cuts(spark):
     assert np.frombuffer(e.encode("end <|endoftext|>"), "<i4")[-1] == own.token_to_id("<|endoftext|>")
 
 
+def test_encoder_of_many_texts():
+    """Texts at random with all that cuts depend on, many at once; a word is remembered once, whatever stands next to it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, e, r = Tokenizer.from_file(token_output.tokenizer_file()), token_output.Encoder(token_output.tokenizer_file()), random.Random(3)
+    parts = [*"aAztSrevdlm09.,-!?(<|> \n\t\r\x0b\x1c\x00\x7f\x85\u00a0\u3000\u2009\u0301éß²½一́😀İǅ_'’", "'s", "'re", "it's", " ", "  ", " the", "\n\n", "<|endoftext|>"]
+    many = ["".join(r.choice(parts) for _ in range(r.randrange(25))) if i % 50 else None for i in range(6000)]
+    for at in (0, 1, 3, 2000):
+        some = many[at : at + max(1, at)] if at < 2000 else many[at:]
+        ids, counts = e.encode_all(pa.array(many)[at : at + len(some)])
+        assert counts.tolist() == [len(x.ids) for x in own.encode_batch([t or "" for t in some], add_special_tokens=False)]
+        assert ids.tolist() == [i for t in some for i in own.encode(t or "", add_special_tokens=False).ids]
+    assert e.encode_all(pa.array([], pa.string()))[0].tolist() == []
+
+    e = token_output.Encoder(token_output.tokenizer_file())
+    e.encode_all(pa.array([f" word{a}\nnext{b} word{b} word" for a in ".,;!" for b in ("", ".", ",", "?", ":\nnext")]))
+    assert sorted(x for x in e.known if x.strip().isalpha()) == [" word", "next"]
+
+
 # ---------------------------------------------------------------- 2
 
 
