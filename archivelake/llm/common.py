@@ -30,6 +30,20 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+#: Bytes of rows that Spark hands to Python at once in a frame of in_small_batches().
+BATCH_BYTES = 4 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df in a session of its own, in which it and all that is derived from it go to Python BATCH_BYTES at a time (Spark's default
+    of 64 MB is held several times, by the JVM outside its heap and by the worker). The settings of df's session, all of which
+    hold there too, stay as they are."""
+    spark = df.sparkSession
+    own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(BATCH_BYTES, int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()))))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().analyzed()), own)
+
+
 def trim() -> None:
     """Gives freed memory back to the system."""
     gc.collect()

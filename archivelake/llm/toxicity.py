@@ -205,99 +205,6 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return model
 
 
-def score(self, found: set[int]) -> float:
-        z = self.bias + float(self.weights[list(found)].sum()) if found else self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.02, decay: float = 1e-4, batch: int = 9000, sureness: float = 4.0, seed: int = 11) -> Classifier:
-    """The classifier of least non-negative risk; without positives or unlabelled texts it scores the prior throughout."""
-    prior = float(np.clip(prior, 1e-3, 0.999))
-    none = Classifier(np.zeros(DIMENSIONS, np.float32), float(np.log(prior / (1 - prior))))
-    if not positive or not unlabelled:
-        return none
-    return fit_rows(lambda: [*((r, True, False) for r in positive), *((r, False, True) for r in unlabelled)], len(positive), len(unlabelled), none, prior, epochs, rate, decay, batch, sureness, seed)
-
-
-def fit_rows(rows: Callable[[], Iterable[tuple[np.ndarray, bool, bool]]], n_positive: int, n_unlabelled: int, none: Classifier, prior: float, epochs: int = 300, rate: float = 0.02, decay: float = 1e-4, batch: int = 9000, sureness: float = 4.0, seed: int = 11) -> Classifier:
-    """fit() over rows (features, positive, unlabelled) that are read twice, to choose features and to keep those alone, and
-    never held as they are."""
-    p, u = (np.zeros(DIMENSIONS, np.int32) for _ in range(2))
-    for r, toxic, other in rows():
-        for held, mine in ((p, toxic), (u, other)):
-            if mine:
-                held[r] += 1  # a text has each feature once
-    # a feature is kept if its share among positives is above that among all texts by more than chance
-    often = np.nonzero(p >= LEAST)[0]
-    a, b = (p[often] + 0.5) / (n_positive + 1), (u[often] + 0.5) / (n_unlabelled + 1)
-    sure = np.abs(a - b) / np.sqrt(a * (1 - a) / n_positive + b * (1 - b) / n_unlabelled)
-    chosen = often[(a > 1.5 * b) & (sure > sureness)]
-    if not len(chosen):
-        return none
-    column = np.full(DIMENSIONS, -1, np.int32)
-    column[chosen] = np.arange(len(chosen))
-    pos, unl = [], []
-    for r, toxic, other in rows():
-        c = column[r]
-        c = c[c >= 0]
-        if toxic:
-            pos.append(c)
-        if other:
-            unl.append(c)
-    w, bias, random = np.zeros(len(chosen)), none.bias, np.random.default_rng(seed)
-    m, v, step = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), 0
-
-    def forward(rows: list[np.ndarray]):
-        flat, at = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        sums = np.concatenate([[0.0], np.cumsum(w[flat])])
-        return flat, np.diff(at), 1 / (1 + np.exp(-np.clip(bias + sums[at[1:]] - sums[at[:-1]], -30, 30)))
-
-    def gradient(flat: np.ndarray, counts: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(flat, np.repeat(slope, counts), len(w)), slope.sum())
-
-    for _ in range(epochs):
-        order = random.permutation(len(unl))
-        for at in range(0, len(unl), batch):
-            rows = [unl[i] for i in order[at : at + batch]]
-            some = [pos[i] for i in random.integers(0, len(pos), min(len(pos), batch))]
-            fp, cp, sp = forward(some)
-            fu, cu, su = forward(rows)
-            negative = -np.log1p(-su).mean() + prior * np.log1p(-sp).mean()
-            on_negative = gradient(fu, cu, su / len(rows)) - gradient(fp, cp, prior * sp / len(some))
-            if negative >= 0:
-                g = gradient(fp, cp, prior * (sp - 1) / len(some)) + on_negative
-            else:
-                g = -on_negative
-            g[:-1] += decay * w
-            step += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w, bias = w - move[:-1], bias - move[-1]
-    weights = np.zeros(DIMENSIONS, np.float32)
-    weights[chosen] = w
-    return Classifier(weights, float(bias))
-
-
-def remainder(folds: int = 5):
-    """crc32(doc_id as text) mod folds; a null id counts as ''."""
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 5) -> Classifier:
-    """From rows outside the held-out fold alone. Null labels are no labels; an id with both labels is toxic."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg("toxic")).first()[0]
-    toxic = sample(known.filter("toxic = 1"), positives, seed).withColumn("toxic", F.lit(True))
-    others = sample(docs.filter(F.col("doc_id").isNotNull() & (remainder() != 0)), unlabelled, seed + 1).withColumn("unlabelled", F.lit(True))
-    ids = toxic.join(others, "doc_id", "full").fillna(False)
-    rows = features_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ids.withColumn("doc_id", F.col("doc_id").cast("long"))).orderBy("doc_id").collect()
-    as_features = lambda kept: [np.frombuffer(r["f"], np.int32) for r in kept]
-    model = fit(as_features(r for r in rows if r["toxic"]), as_features(r for r in rows if r["unlabelled"]), prior or 0.0)
-    del rows
-    common.trim()
-    return model
-
-
 def score(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs with score (0 to 1, higher: toxic likelier; of empty and null texts too) and predicted (1
     from 0.5 on)."""

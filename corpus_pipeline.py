@@ -1,7 +1,8 @@
 """From raw documents to token files: five stages, each one operator over all that the stage before kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and reread as the next one's docs. All but
-the last return the columns of documents.
+the last return the columns of documents. Texts go to Python in small batches (``common.in_small_batches``), so that what
+executors hold beside their heaps stays small in all stages.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from archivelake.llm import common, decontaminate, mixing, simhash, token_output
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not predict as toxic; it is trained on labelled rows of docs outside the held-out
     fold."""
+    docs = common.in_small_batches(docs)
     return toxicity.clean(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (that of the lowest id) of each group of about 0.8 similarity or more on five-word shingles."""
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(common.in_small_batches(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window."""
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(common.in_small_batches(docs), common.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_output.encode_documents(docs)
+    return token_output.encode_documents(common.in_small_batches(docs))
 
 
 STAGES = [

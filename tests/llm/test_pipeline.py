@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from archivelake.llm import decontaminate, simhash, toxicity
+from archivelake.llm import common, decontaminate, simhash, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,3 +60,26 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert name in ("source_mixing",) or n <= len(rows)
             if name == "simhash_near_dedup" and n:
                 assert out.filter("score = 0 and part = 14").count() == n
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", dict(spark.conf.getAll)
+    monkeypatch.setattr(common, "BATCH_BYTES", 10_000)
+    docs = spark.createDataFrame([(i, f"{i} " * 400, "en", "s", 1) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    own = common.in_small_batches(docs.withColumn("id", F.monotonically_increasing_id()))
+    sizes = own.filter("id >= 0").mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1).set_column(0, "doc_id", [len(b)]) for b in batches), "doc_id long").collect()
+    assert max(r[0] for r in sizes) <= 20 and sum(r[0] for r in sizes) == 200
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "source_mixing":
+            assert stage(spark, docs, DATA).sparkSession.conf.get(key) == "10000", name
+    assert dict(spark.conf.getAll) == before and docs.sparkSession is spark
+
+
+def test_training_features_never_come_to_the_driver_at_once(spark, monkeypatch):
+    from pyspark.sql import classic
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    frame = classic.dataframe.DataFrame
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: collect(self) if "f" not in self.columns else pytest.fail("all features at once"))
+    assert -30 < toxicity.train(docs, labels).bias < 0
